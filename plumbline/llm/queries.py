@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ctph, media, mixing, tokenfile, toxicity
+from plumbline.llm import ctph, media, mixing, suffixes, superkmers, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+@query
+def op5_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.cut_digests(_read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
@@ -44,3 +49,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.fingerprint_documents(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_digests(_read(spark, sf_dir, "documents"))
