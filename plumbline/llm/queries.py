@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import ctph, media, mixing, suffixes, superkmers, tokenfile, toxicity
+from plumbline.llm import ctph, media, minhash, mixing, packing, suffixes, superkmers, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,11 +22,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second replica has decayed where the first byte of the url's MD5 is 0 (payload reversed) or 1 (a space added), and lost records where it is 2."""
+    mark = F.substring(F.md5(F.coalesce(F.col("url"), F.lit("")).cast("binary")), 1, 2)
+    decayed = F.when(mark == "00", F.reverse("html")).when(mark == "01", F.concat("html", F.lit(" "))).otherwise(F.col("html"))
+    return warc.audited_pages(_read(spark, sf_dir, "pages"), decayed, mark == "02")
+
+
 @query
 def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(_read(spark, sf_dir, "documents")))
 
 
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -46,6 +60,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.count_document_tokens(_read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_components(_read(spark, sf_dir, "documents"), 3, 85)
+
+
 @query
 def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.fingerprint_documents(_read(spark, sf_dir, "documents"))
