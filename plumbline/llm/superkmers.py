@@ -138,9 +138,17 @@ def _look(texts: Iterator[tuple[int, str | None]]) -> Iterator[tuple[str, np.nda
             yield "all", np.zeros(1, np.uint64), np.array([int((flush.end - flush.at).sum())])
 
 
-def repeated_windows(data: bytes, uid: np.ndarray, pos: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(uid, first word) of the windows in the lines of data (super-k-mers) that also start in a document with a smaller uid."""
-    a, b, words, _ = _word_hashes(np.frombuffer(data, np.uint8))
+def repeated_windows(blobs: list[bytes], uid: np.ndarray, pos: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(uid, first word) of the windows in the lines of the blobs (super-k-mers) that also start in a document with a smaller uid."""
+    parts, base = [], 0
+    for blob in blobs:  # one by one: the prefix sums over bytes are the largest arrays
+        parts.append(_word_hashes(np.frombuffer(blob, np.uint8))[:3])
+        parts[-1][0][:] += base
+        parts[-1][1][:] += base
+        base += len(blob) + 1
+    a, b, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+    data = b"\n".join(blobs)
+    del parts
     began = np.concatenate(([0], np.cumsum(count + WINDOW - 1)[:-1]))
     line = np.repeat(np.arange(len(count)), count)
     within = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
@@ -200,7 +208,7 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
                     yield from R.span_rows(*R.unpack(blob))
         for number in list(by_bucket):
             data, uid, pos, count = zip(*map(R.unpack, by_bucket.pop(number)), strict=True)
-            owner, first = repeated_windows(b"\n".join(data), np.concatenate(uid), np.concatenate(pos), np.concatenate(count))
+            owner, first = repeated_windows(list(data), np.concatenate(uid), np.concatenate(pos), np.concatenate(count))
             yield from R.span_rows(owner, first, first + WINDOW)
 
     rows = docs.select("uid", "text").mapInArrow(split, "bucket int, open boolean, blob binary")
