@@ -24,11 +24,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 100-byte strings that start earlier; n_chars counts what is left. The documents are different by now, so ids name them."""
-    kept = suffixes.deduplicated(docs)
-    rest = docs.select("doc_id", "lang", "source")
-    joined = kept.withColumnRenamed("doc_id", "_id").join(rest, F.col("_id").eqNullSafe(rest["doc_id"])).drop("_id")
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Texts without the 100-byte strings that start earlier; n_chars counts what is left."""
+    return suffixes.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,23 +68,25 @@ def with_positions(df: DataFrame, keys: list[Column], name: str = "position") ->
     return table.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_seq")).drop("_part", "_seq", "_before")
 
 
-def distinct_documents(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs as (uid long, doc_id long, text string), and whether uid is doc_id itself.
+def distinct_documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """docs as (uid long, doc_id long, text string), and whether uid is doc_id itself. Columns in `carry` follow as _c0, _c1 ...
 
     Ids that are unique and never null serve as uid. Otherwise uids number the different (doc_id, text) pairs by
     ascending doc_id, null last, then by the text's SHA-256: rows alike in both columns are one document, and other
     documents under one id come in the order of that hash.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    extra = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
+    held = [f"_c{i}" for i in range(len(carry))]
     odd = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull())
     if odd.limit(1).count() == 0:
-        return base.select(F.col("doc_id").alias("uid"), "doc_id", "text"), True
+        return base.select(F.col("doc_id").alias("uid"), "doc_id", "text", *held), True
     keys = base.select("doc_id", F.sha2("text", 256).alias("sha")).distinct()
     numbered = with_positions(keys, [F.col("doc_id").asc_nulls_last(), F.col("sha")], "uid")
     keyed = base.withColumn("sha", F.sha2("text", 256)).alias("b").join(
         numbered.alias("k"), (F.col("b.doc_id").eqNullSafe(F.col("k.doc_id"))) & (F.col("b.sha") == F.col("k.sha"))
     )
-    return keyed.select("uid", F.col("b.doc_id").alias("doc_id"), "text"), False
+    return keyed.select("uid", F.col("b.doc_id").alias("doc_id"), "text", *held), False
 
 
 def session_partitions(spark: SparkSession) -> int:

@@ -104,21 +104,24 @@ def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[p
 
 
 def cut(docs: DataFrame, spans: DataFrame, edit: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    """Every row of docs (uid, doc_id, text) edited by its document's spans: (doc_id, *schema).
+    """Every row of docs (uid, doc_id, text, others) edited by its document's spans: (doc_id, *schema, others).
 
     Texts travel to the join compressed. A document's spans are as many as its text allows, so no group is unbounded.
     """
 
+    others = docs.columns[3:]
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in others)
+
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = pa.array([compress(x.as_py().encode()) for x in part.column(2)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["uid", "doc_id", "packed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, *part.columns[3:]], names=["uid", "doc_id", "packed", *others])
 
     gathered = spans.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    small = docs.select("uid", "doc_id", "text").mapInArrow(shrink, "uid long, doc_id long, packed binary")
-    rows = small.join(gathered, "uid", "left").select("doc_id", "packed", "starts", "ends")
+    small = docs.select("uid", "doc_id", "text", *others).mapInArrow(shrink, "uid long, doc_id long, packed binary" + kept)
+    rows = small.join(gathered, "uid", "left").select("doc_id", "packed", "starts", "ends", *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +132,9 @@ def cut(docs: DataFrame, spans: DataFrame, edit: Callable[[bytes, list[tuple[int
                     _, a, b = merged(np.zeros(len(a), np.int64), a, b)
                     out.append(edit(decompress(packed), list(zip(a.tolist(), b.tolist(), strict=True))))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *(f"c{i}" for i in range(len(kinds)))])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, *part.columns[4:]], names=["doc_id", *(f"c{i}" for i in range(len(kinds))), *others])
 
-    return rows.mapInArrow(run, f"doc_id long, {schema}")
+    return rows.mapInArrow(run, f"doc_id long, {schema}{kept}")
 
 
 def sha256(data: bytes) -> str:

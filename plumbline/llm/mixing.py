@@ -32,6 +32,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _chance(seed: int) -> Column:
+    """A number in [0, 1) from the seeded MD5 of id and text: its first 13 hex digits."""
+    told = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(told.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST) -> DataFrame:
     """(source, source_size long, target double) of (source, source_size) with one row a source. No task sees all sources."""
     sources = with_positions(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "place")
@@ -68,7 +74,7 @@ def _hinted(goals: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, copies long, taken long) for every row of docs (doc_id, text, source)."""
-    sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_h"))
+    sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), _chance(seed).alias("_chance"))
     return _taken(sized, weights, factor, most).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -77,8 +83,7 @@ def _taken(sized: DataFrame, weights: tuple[int, ...], factor: float, most: floa
     goals = targets(sizes, weights, factor, most).withColumnRenamed("source", "_source")
     joined = sized.join(_hinted(goals), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    chance = F.shiftrightunsigned(F.col("_h"), 11).cast("double") / F.lit(float(1 << 53))
-    return joined.withColumn("copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long"))
+    return joined.withColumn("copies", (F.floor(rate) + (F.col("_chance") < rate - F.floor(rate)).cast("long")).cast("long"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST, seed: int = SEED) -> DataFrame:
@@ -88,8 +93,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = F
         F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate")
     )
     names = docs.columns
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 11).cast("double") / F.lit(float(1 << 53))
     joined = docs.join(_hinted(goals), docs["source"].eqNullSafe(F.col("_source")))
-    copies = (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
+    copies = (F.floor("_rate") + (_chance(seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
     rows = joined.withColumn("_copies", copies).filter(F.col("_copies") > 0).filter(n_words(F.col("text")) > 0)
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)

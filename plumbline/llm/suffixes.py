@@ -406,6 +406,10 @@ def _kept_text(data: bytes, spans: list[tuple[int, int]]) -> tuple:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) for every row of docs: the whole texts without the strings that start earlier."""
-    base, unique = distinct_documents(docs)
-    return R.cut(base, repeat_spans(base if unique else base.dropDuplicates(["uid"])), _kept_text, "text string", [pa.string()])
+    """Every row of docs with its text cut (the whole texts without the strings that start earlier); other columns unchanged."""
+    names = docs.columns
+    rest = tuple(c for c in names if c not in ("doc_id", "text"))
+    base, unique = distinct_documents(docs, rest)
+    spans = repeat_spans(base if unique else base.dropDuplicates(["uid"]))
+    rows = R.cut(base, spans, _kept_text, "text string", [pa.string()])
+    return rows.toDF("doc_id", "text", *rest).select(*(f"`{c}`" for c in names))
