@@ -8,7 +8,7 @@ and deletions; otherwise their likeness is 0. Runs of more than three equal lett
 
 Defined results: null and empty text alike have the fingerprint `3::` (likeness 1 with itself, 0 with any other);
 equal texts have equal fingerprints. In `fingerprint_documents`, documents follow each other by ascending doc_id (null
-first), then by text; repeated rows are compared each with its next; a lone document is its own next.
+first), then by their texts' hash; repeated rows are compared each with its next; a lone document is its own next.
 """
 
 from __future__ import annotations
@@ -159,7 +159,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     first and last document; these few (two a partition) are stitched afterwards.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = base.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    # ranges are drawn from a sample of the keys, which the driver sees: a hash, not the text
+    ordered = base.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
