@@ -7,11 +7,13 @@ tokens of each that are rarest in the corpus (any order of tokens that all docum
 sketch of bounded size). Documents are posted under these tokens only: common passages make common tokens, which fall
 outside the prefix.
 
-Posting lists are joined without their squares. In each round, every list that still holds several components names one
-member as its centre, the others are paired with it, pairs with fewer than `needed` collisions of coordinates are skipped,
-and the rest confirmed on the full sets; links found merge components, and lists within one component are skipped from
-then on. When the pairs that are left - those across components - are few against the postings, or the rounds are over,
-all of them are counted and confirmed. So no candidate is dropped, but those that can't change a component are never made.
+Posting lists are joined without their squares. The pairs of a short list are counted, those with fewer than `needed`
+collisions of coordinates skipped, the rest confirmed on the full sets. A long list pairs its members with a centre only,
+and the links found merge components. What such a star can miss lies in lists that still hold several components: their
+documents are joined exactly, by the shingles themselves. Each orders its shingles by their number of holders, the rarest
+first, and is posted under those that a partner of each class of sizes could share first; a pair is made where the places
+of a shared shingle leave room for enough others (positional prefix filter), and only across components. No candidate is
+dropped; pairs that can't be links, or can't change a component, are not made.
 
 Defined results: words are runs of other than the six ASCII white-space bytes with A-Z lower-cased; a text of fewer words
 than a shingle has the whole sequence as its one shingle; null or a text without words has an empty set and links to
@@ -27,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from plumbline.llm import _kernels as K
 from plumbline.llm._common import distinct_documents, written
@@ -36,7 +39,8 @@ from plumbline.llm._repeats import compress, decompress
 
 COORDINATES = 64
 MISS = 1e-6
-ROUNDS = 6
+#: Lists of so many documents at most are joined pair by pair.
+SHORT = 16
 _CHUNK = 2 << 20
 _NOT_SPACE = ~K.SPACES
 _SLOTS = 1 << 20
@@ -271,7 +275,49 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     return written(joined.select("uid", F.coalesce(roots["root"], comp["root"]).alias("root")), "components")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates: int = COORDINATES, rounds: int = ROUNDS) -> DataFrame:
+_RATIO = 1.05
+
+
+def _exact_candidates(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents in ids (uid, root) of different roots that may be `percent` alike, by shingles alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingle_sets([decompress(x).decode() for x in part.column(1).to_pylist()], k)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                columns = [np.repeat(part.column(0).to_numpy(), sizes), np.repeat(part.column(2).to_numpy(), sizes), np.repeat(sizes, sizes)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], names=["uid", "root", "n", "shingle"])
+
+    texts = _needed_texts(docs, ids.select(F.col("uid").alias("a"), F.col("uid").alias("b"))).join(ids, "uid").select("uid", "packed", "root")
+    held = written(texts.mapInArrow(run, "uid long, root long, n long, shingle long"), "shingles")
+    often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
+    ranked = held.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("uid").orderBy("holders", "shingle")))  # one document's shingles
+    reach = math.ceil(math.log(100 / percent) / math.log(_RATIO)) + 1
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(_RATIO))).cast("int")
+    least = lambda c: F.floor(F.pow(F.lit(_RATIO), c))
+    shared = lambda x, y: F.ceil(F.lit(percent) * (x + y) / F.lit(100 + percent))
+    posted = ranked.filter((F.col("holders") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)) + 1)).withColumn("own", own)
+    posted = posted.withColumn("other", F.explode(F.sequence(F.greatest(F.lit(0), F.col("own") - reach), F.col("own") + reach)))
+    posted = posted.filter(F.col("place") <= F.col("n") - shared(least(F.col("own")), least(F.col("other"))) + 1)
+    posted = posted.select("uid", "root", "n", "place", "own", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key"), (F.col("own") == F.col("other")).alias("level"))
+    # lists of one root are skipped; in others, the members of the most frequent root don't meet each other
+    parts = posted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "most")
+    posted = written(posted.join(most, "key"), "prefixes")
+    x = posted.filter("root <> most").select("key", "level", *[F.col(c).alias(f"{c}x") for c in ("uid", "root", "n", "place", "own")])
+    y = posted.select("key", "level", *[F.col(c).alias(f"{c}y") for c in ("uid", "root", "n", "place", "own")])
+    room = F.lit(1) + F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) >= shared(F.col("nx"), F.col("ny"))
+    on = [x["key"] == y["key"], x["level"] == y["level"], F.col("rootx") != F.col("rooty"), x["level"] | (F.col("ownx") != F.col("owny")), room]
+    return _sorted_pairs(x.join(y, on).select(F.col("uidx").alias("a"), F.col("uidy").alias("b")))
+
+
+def _sorted_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
     """(uid, n, root) for every different document of docs (uid, text); root: the smallest uid of its component."""
     needed = least_matches(percent, coordinates)
     prefix = coordinates - needed + 1
@@ -281,39 +327,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     members = written(full.select("uid", "f1", "f2").join(classes, ["f1", "f2"]).select("uid", "rep"), "classes")
     reps = written(full.join(members.filter("uid = rep").select("uid"), "uid").select("uid", "sig"), "representatives")
     posted = postings(reps, token_counts(reps, coordinates), prefix, coordinates)
-    posted = written(posted, "postings")
-    several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("token")
-    posted = written(posted.join(several, "token"), "postings")
-    comp = written(posted.select("uid").distinct().select("uid", F.col("uid").alias("root")), "components")
-    few = 4 * max(1, posted.count())
-    tried = None
-    for turn in range(rounds + 1):
-        open_lists = posted.join(comp, "uid").select("token", "uid", "score", "root")
-        parts = open_lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
-        sizes = parts.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).filter("roots > 1")
-        left = open_lists.join(sizes.select("token"), "token")
-        pairs_left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
-        if not pairs_left:
-            break
-        last = turn == rounds or (turn and pairs_left <= few)
-        if last:
-            x, y = (left.select("token", F.col("uid").alias(i), F.col("root").alias(f"r{i}")) for i in ("a", "b"))
-            pairs = x.join(y, "token").filter("ra < rb")
-        else:
-            rank = F.col("score") if not turn else F.xxhash64(F.lit(turn), "uid").cast("double")
-            centre = left.groupBy("token").agg(F.max_by(F.struct("uid", "root"), F.struct(rank, "uid")).alias("c"))
-            pairs = left.join(centre, "token").filter(F.col("root") != F.col("c.root")).select(F.col("c.uid").alias("a"), F.col("uid").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        alike = written(matching(pairs, reps, needed, coordinates), "matches")
+    several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    lists = written(posted.join(several, "token"), "postings")
+    comp = lists.select("uid").distinct().select("uid", F.col("uid").alias("root"))
+
+    def linked(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        alike = written(matching(written(pairs, "pairs"), reps, needed, coordinates), "matches")
         links = written(confirmed(alike, docs, k, percent), "links")
-        if links.limit(1).count():
-            comp = _merge(comp, links)
-        if last:
-            break
-        tried = pairs if tried is None else tried.union(pairs)
+        return _merge(comp, links) if links.limit(1).count() else comp
+
+    short, long = (lists.filter(F.col("size") <= SHORT), lists.filter(F.col("size") > SHORT))
+    x, y = (short.select("token", F.col("uid").alias(i)) for i in ("a", "b"))
+    centre = long.groupBy("token").agg(F.max_by("uid", F.struct("score", "uid")).alias("c"))
+    stars = long.join(centre, "token").filter("uid <> c").select(F.col("c").alias("a"), F.col("uid").alias("b"))
+    comp = linked(_sorted_pairs(x.join(y, "token").filter("a < b").select("a", "b").union(stars)), written(comp, "components"))
+    left = long.select("token", "uid").join(comp, "uid")
+    mixed = left.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
+    ids = written(left.join(mixed, "token").select("uid", "root").distinct(), "open")
+    if ids.limit(1).count():
+        comp = linked(_exact_candidates(docs, ids, k, percent), comp)
     out = sigs.select("uid", "n").join(members, "uid", "left")
     roots = comp.select(F.col("uid").alias("rep"), "root")
     return out.join(roots, "rep", "left").select("uid", "n", F.coalesce("root", "rep", "uid").alias("root"))
