@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return option.get()
 
 
+#: Rows that go to a Python worker at a time: whole texts, so fewer than the session's 10,000.
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors. Removed when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -41,7 +41,7 @@ COORDINATES = 64
 MISS = 1e-6
 #: Lists of so many documents at most are joined pair by pair.
 SHORT = 16
-_CHUNK = 2 << 20
+_CHUNK = 1 << 19
 _NOT_SPACE = ~K.SPACES
 _SLOTS = 1 << 20
 _PARTS = 64
