@@ -17,7 +17,7 @@ HEAVY_SHARE = 2.0**-18
 #: Raw bytes of texts that a task turns into one set of sorted, packed runs at a time.
 FLUSH_BYTES = 20 << 20
 #: Bytes of text that the numpy kernels work on at a time; a longer text is cut into overlapping pieces.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 #: Raw bytes of packed runs that one bucket should hold.
 BUCKET_BYTES = 20 << 20
 #: A key of the packed 64-bit minimisers: the upper bits rank, the lower ones say where.
