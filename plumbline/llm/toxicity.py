@@ -39,7 +39,7 @@ LEAST_DOCS = 5
 LEAST_Z = 4.0
 GRADES = 4
 REJECT_AT = 0.5
-_CHUNK = 2 << 20
+_CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
