@@ -128,7 +128,7 @@ _NEW = parse("CREATE TABLE region (r_regionkey int PRIMARY KEY, r_label text NOT
 _OLD = Catalog({"region": TPCH["region"]})
 
 
-@query("SELECT * FROM (VALUES ('rename', 'column', 'region.r_name', NULL, 'r_name', 'r_label'), ('add', 'column', 'region.r_rank', NULL, NULL, NULL), ('add', 'table', 'zone', NULL, NULL, NULL)) AS t(op, kind, name, field, before, after)")
+@query("SELECT op, kind, name, cast(field AS VARCHAR) AS field, before, after FROM (VALUES ('rename', 'column', 'region.r_name', NULL, 'r_name', 'r_label'), ('add', 'column', 'region.r_rank', NULL, NULL, NULL), ('add', 'table', 'zone', NULL, NULL, NULL)) AS t(op, kind, name, field, before, after)")
 def schema_diff(spark: SparkSession, d: str) -> DataFrame:
     return migrate.changes_frame(spark, migrate.compare(_OLD, _NEW, migrate.Intents({"region.r_name": "r_label"})))
 

@@ -54,18 +54,18 @@ sql("bool_aggs", "SELECT c_mktsegment, bool_and(c_acctbal > -999) AS every_ok, b
 sql("agg_no_group", "SELECT count(*) AS n, round(min(o_totalprice), 2) AS lo, round(max(o_totalprice), 2) AS hi FROM {orders} HAVING count(*) > 0")
 
 # windows
-sql("win_rank_family", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd, ntile(4) OVER w AS nt FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)")
+sql("win_rank_family", "SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd, CAST(ntile(4) OVER w AS BIGINT) AS nt FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)")
 sql("win_lag_lead", "SELECT event_id, lag(value, 1, 0.0) OVER w AS prev, lead(event_id, 2) OVER w AS after FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 sql("win_first_last_nth", "SELECT event_id, first_value(event_id) OVER w AS f, last_value(event_id) OVER w AS l, nth_value(event_id, 2) OVER w AS n2 FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 sql("win_ignore_nulls", "SELECT event_id, last_value(nullif(event_type, 'view')) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_action FROM {events}", "SELECT event_id, last_value(nullif(event_type, 'view') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_action FROM events")
 sql("win_rows_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS s FROM {events}")
 sql("win_range_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM {part}")
 sql("win_range_interval", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS day_n FROM {events}")
-sql("win_named", "SELECT c_custkey, round(sum(c_acctbal) OVER seg, 2) AS seg_total, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS rk FROM {customer} WINDOW seg AS (PARTITION BY c_mktsegment)")
-sql("win_over_agg", "SELECT o_custkey, round(sum(o_totalprice), 2) AS total, rank() OVER (ORDER BY sum(o_totalprice) DESC) AS rk FROM {orders} GROUP BY o_custkey")
+sql("win_named", "SELECT c_custkey, round(sum(c_acctbal) OVER seg, 2) AS seg_total, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS BIGINT) AS rk FROM {customer} WINDOW seg AS (PARTITION BY c_mktsegment)")
+sql("win_over_agg", "SELECT o_custkey, round(sum(o_totalprice), 2) AS total, CAST(rank() OVER (ORDER BY sum(o_totalprice) DESC) AS BIGINT) AS rk FROM {orders} GROUP BY o_custkey")
 
 # order, limit, distinct, sets
-sql("order_nulls", "SELECT k, row_number() OVER (ORDER BY k ASC NULLS LAST, c_custkey) AS rn FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM {customer})")
+sql("order_nulls", "SELECT k, CAST(row_number() OVER (ORDER BY k ASC NULLS LAST, c_custkey) AS BIGINT) AS rn FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM {customer})")
 sql("limit_offset", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 sql("topk", "SELECT l_orderkey, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20")
 sql("distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}")
@@ -82,7 +82,7 @@ sql("cte_recursive", "WITH RECURSIVE r(n, total) AS (SELECT 1, 1 UNION ALL SELEC
 sql("cte_materialized_twice", "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS s FROM {orders} GROUP BY o_custkey) SELECT count(*) AS n FROM t a JOIN t b ON a.s > b.s AND a.o_custkey = b.o_custkey + 1")
 
 # scalar functions
-sql("string_fns", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, concat_ws('-', c_name, c_mktsegment) AS j, substring(c_name, 1, 4) AS s, replace(c_name, '#', '/') AS r, lpad(CAST(c_custkey AS STRING), 8, '0') AS p, trim('  x ') AS t, position('e' IN lower(c_name)) AS at, split_part(c_name, '#', 2) AS part2, reverse(c_mktsegment) AS rev FROM {customer}", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, concat_ws('-', c_name, c_mktsegment) AS j, substring(c_name, 1, 4) AS s, replace(c_name, '#', '/') AS r, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS p, trim('  x ') AS t, position('e' IN lower(c_name)) AS at, split_part(c_name, '#', 2) AS part2, reverse(c_mktsegment) AS rev FROM customer")
+sql("string_fns", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, CAST(length(c_name) AS BIGINT) AS n, concat_ws('-', c_name, c_mktsegment) AS j, substring(c_name, 1, 4) AS s, replace(c_name, '#', '/') AS r, lpad(CAST(c_custkey AS STRING), 8, '0') AS p, trim('  x ') AS t, CAST(position('e' IN lower(c_name)) AS BIGINT) AS at, split_part(c_name, '#', 2) AS part2, reverse(c_mktsegment) AS rev FROM {customer}", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, CAST(length(c_name) AS BIGINT) AS n, concat_ws('-', c_name, c_mktsegment) AS j, substring(c_name, 1, 4) AS s, replace(c_name, '#', '/') AS r, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS p, trim('  x ') AS t, CAST(position('e' IN lower(c_name)) AS BIGINT) AS at, split_part(c_name, '#', 2) AS part2, reverse(c_mktsegment) AS rev FROM customer")
 sql("date_fns", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS STRING) AS mon, CAST(datediff(DATE '1999-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS gap, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(add_months(CAST(o_orderdate AS DATE), 1) AS STRING) AS nxt, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy FROM {orders}", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS mon, datediff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS gap, quarter(o_orderdate) AS q, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS nxt, dayofyear(o_orderdate) AS doy FROM orders")
 sql("math_fns", "SELECT c_custkey, round(abs(c_acctbal), 2) AS a, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c, round(sqrt(abs(c_acctbal)), 6) AS s, round(power(c_nationkey, 2), 2) AS p, c_custkey % 7 AS m, CAST(sign(c_acctbal) AS INT) AS sg, round(ln(abs(c_acctbal) + 1), 6) AS l, round(exp(c_nationkey / 10.0), 6) AS e, round(degrees(radians(c_nationkey)), 6) AS dg FROM {customer}")
 sql("hash_fns", "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s, sha1(c_name) AS s1 FROM {customer}", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, sha1(c_name) AS s1 FROM customer")
@@ -93,7 +93,7 @@ sql("levenshtein", "SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_na
 sql("json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
 sql("collate_ci", "SELECT c_mktsegment, count(*) AS n FROM {customer} WHERE c_mktsegment COLLATE UTF8_LCASE = 'building' GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building' GROUP BY c_mktsegment")
 sql("struct_row", "SELECT o_orderkey, r.f1 AS a, r.f2 AS b FROM (SELECT o_orderkey, named_struct('f1', o_custkey, 'f2', o_orderstatus) AS r FROM {orders})", "SELECT o_orderkey, o_custkey AS a, o_orderstatus AS b FROM orders")
-sql("array_subscript", "SELECT n_nationkey, try_element_at(split(n_name, 'A'), 2) AS second, cardinality(split(n_name, 'A')) AS n, slice(sequence(1, 5), 2, 3) AS mid FROM {nation}", "SELECT n_nationkey, string_split(n_name, 'A')[2] AS second, len(string_split(n_name, 'A')) AS n, [2, 3, 4] AS mid FROM nation")
+sql("array_subscript", "SELECT n_nationkey, try_element_at(split(n_name, 'A'), 2) AS second, CAST(cardinality(split(n_name, 'A')) AS BIGINT) AS n, slice(sequence(1, 5), 2, 3) AS mid FROM {nation}", "SELECT n_nationkey, string_split(n_name, 'A')[2] AS second, len(string_split(n_name, 'A')) AS n, [2, 3, 4] AS mid FROM nation")
 sql("tumbling_window", "SELECT window.start AS w, event_type, count(*) AS n FROM {events} GROUP BY window(ts, '1 day'), event_type", "SELECT date_trunc('day', ts) AS w, event_type, count(*) AS n FROM events GROUP BY ALL")
 sql("tpch_q1", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus")
 sql("tpch_q3", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10")

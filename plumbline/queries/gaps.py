@@ -157,7 +157,7 @@ def cte_search_cycle(spark: SparkSession, d: str) -> DataFrame:
     return recursive.connect_by(edges, "a", "b", start).select("node", "path", "depth", "is_cycle")
 
 
-@query("SELECT n_nationkey, unnest(generate_series(1, n_regionkey)) AS i FROM nation WHERE n_regionkey > 0")
+@query("SELECT n_nationkey, cast(unnest(generate_series(1, n_regionkey)) AS INTEGER) AS i FROM nation WHERE n_regionkey > 0")
 def generate_series(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", F.explode(rows.generate_series(F.lit(1), F.col("n_regionkey"))).alias("i"))
 
@@ -203,7 +203,7 @@ def range_overlap(spark: SparkSession, d: str) -> DataFrame:
     return ranges.overlap_join(side("a"), side("b"), "a_low", "a_high", "b_low", "b_high", 5, ["p_brand"]).filter("a < b").select("a", "b")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, lo FROM lineitem JOIN (VALUES (0.0, 10.0), (10.0, 25.5), (40.0, 45.0)) AS b(lo, hi) ON l_quantity >= lo AND l_quantity < hi WHERE l_returnflag = 'R'")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, cast(lo AS DOUBLE) AS lo FROM lineitem JOIN (VALUES (0.0, 10.0), (10.0, 25.5), (40.0, 45.0)) AS b(lo, hi) ON l_quantity >= lo AND l_quantity < hi WHERE l_returnflag = 'R'")
 def join_range(spark: SparkSession, d: str) -> DataFrame:
     bands = spark.createDataFrame([(0.0, 10.0), (10.0, 25.5), (40.0, 45.0)], "lo double, hi double")
     t = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -248,10 +248,10 @@ def ext_hstore_map(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", F.map_keys(m).alias("ks"), F.map_values(m).alias("vs"), m["name"].alias("name"))
 
 
-@query("SELECT n_nationkey, len(a) AS icount, list_position(a, 3) AS idx, list_reverse_sort(list_distinct(a)) AS d FROM (SELECT n_nationkey, [3, n_regionkey, 1, 3] AS a FROM nation)")
+@query("SELECT n_nationkey, len(a) AS icount, cast(list_position(a, 3) AS BIGINT) AS idx, list_reverse_sort(list_distinct(a)) AS d FROM (SELECT n_nationkey, [3, n_regionkey, 1, 3] AS a FROM nation)")
 def ext_intarray(spark: SparkSession, d: str) -> DataFrame:
     a = F.array(F.lit(3), F.col("n_regionkey"), F.lit(1), F.lit(3))
-    return table(spark, d, "nation").select("n_nationkey", F.size(a).alias("icount"), F.array_position(a, 3).alias("idx"), F.sort_array(F.array_distinct(a), False).alias("d"))
+    return table(spark, d, "nation").select("n_nationkey", F.size(a).cast("long").alias("icount"), F.array_position(a, 3).alias("idx"), F.sort_array(F.array_distinct(a), False).alias("d"))
 
 
 @query("SELECT o_orderkey, epoch(o_orderdate) AS secs, cast(date_part('month', age(TIMESTAMP '1999-01-01', o_orderdate)) + 12 * date_part('year', age(TIMESTAMP '1999-01-01', o_orderdate)) AS BIGINT) AS months FROM orders")
