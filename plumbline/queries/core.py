@@ -93,7 +93,7 @@ sql("levenshtein", "SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_na
 sql("json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
 sql("collate_ci", "SELECT c_mktsegment, count(*) AS n FROM {customer} WHERE c_mktsegment COLLATE UTF8_LCASE = 'building' GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building' GROUP BY c_mktsegment")
 sql("struct_row", "SELECT o_orderkey, r.f1 AS a, r.f2 AS b FROM (SELECT o_orderkey, named_struct('f1', o_custkey, 'f2', o_orderstatus) AS r FROM {orders})", "SELECT o_orderkey, o_custkey AS a, o_orderstatus AS b FROM orders")
-sql("array_subscript", "SELECT n_nationkey, try_element_at(split(n_name, 'A'), 2) AS second, CAST(cardinality(split(n_name, 'A')) AS BIGINT) AS n, slice(sequence(1, 5), 2, 3) AS mid FROM {nation}", "SELECT n_nationkey, string_split(n_name, 'A')[2] AS second, len(string_split(n_name, 'A')) AS n, [2, 3, 4] AS mid FROM nation")
+sql("array_subscript", "SELECT n_nationkey, try_element_at(split(n_name, 'A'), 2) AS second, CAST(cardinality(split(n_name, 'A')) AS BIGINT) AS n, array_join(transform(slice(sequence(1, 5), 2, 3), x -> CAST(x AS STRING)), ',') AS mid FROM {nation}", "SELECT n_nationkey, string_split(n_name, 'A')[2] AS second, len(string_split(n_name, 'A')) AS n, '2,3,4' AS mid FROM nation")
 sql("tumbling_window", "SELECT window.start AS w, event_type, count(*) AS n FROM {events} GROUP BY window(ts, '1 day'), event_type", "SELECT date_trunc('day', ts) AS w, event_type, count(*) AS n FROM events GROUP BY ALL")
 sql("tpch_q1", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus")
 sql("tpch_q3", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -12,6 +12,11 @@ from plumbline.queries._registry import query
 from plumbline.session import table
 
 
+def _told(array: Column) -> Column:
+    """An array as text, nulls too."""
+    return F.array_join(F.transform(array, lambda x: F.coalesce(x.cast("string"), F.lit("NULL"))), ",")
+
+
 @query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN least(20, 10) AND greatest(20, 10)")
 def between_symmetric(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(predicates.between_symmetric(F.col("p_size"), F.lit(20), F.lit(10))).select("p_partkey", "p_size")
@@ -52,12 +57,12 @@ def any_all_subquery(spark: SparkSession, d: str) -> DataFrame:
     return predicates.compare_subquery(out, F.col("s_nationkey"), "=", "ANY", keys, "in_region").select("s_suppkey", "above", "in_region")
 
 
-@query("SELECT c_custkey, coalesce((SELECT array_agg(o_orderkey ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey), []) AS keys FROM customer")
+@query("SELECT c_custkey, coalesce((SELECT string_agg(cast(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey), '') AS keys FROM customer")
 def array_subquery(spark: SparkSession, d: str) -> DataFrame:
     """ARRAY(SELECT ...): grouped once and joined, not run for each row."""
     per = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
     joined = table(spark, d, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select("c_custkey", F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys"))
+    return joined.select("c_custkey", _told(F.coalesce("keys", F.array().cast("array<bigint>"))).alias("keys"))
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_name, c_mktsegment")
@@ -78,9 +83,9 @@ def hypothetical_rank(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT n_regionkey, array_agg(nullif(n_nationkey, 3) ORDER BY n_name) AS keys FROM nation GROUP BY n_regionkey")
+@query("SELECT n_regionkey, string_agg(coalesce(cast(nullif(n_nationkey, 3) AS VARCHAR), 'NULL'), ',' ORDER BY n_name) AS keys FROM nation GROUP BY n_regionkey")
 def array_agg_nulls(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(aggregates.array_agg(F.expr("nullif(n_nationkey, 3)"), F.col("n_name")).alias("keys"))
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(_told(aggregates.array_agg(F.expr("nullif(n_nationkey, 3)"), F.col("n_name"))).alias("keys"))
 
 
 @query("SELECT n_regionkey, '[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_name) || ']' AS names, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS keys FROM nation GROUP BY n_regionkey")
@@ -88,9 +93,9 @@ def json_agg(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").groupBy("n_regionkey").agg(aggregates.json_agg(F.col("n_name")).alias("names"), aggregates.json_object_agg(F.col("n_name"), F.col("n_nationkey")).alias("keys"))
 
 
-@query("SELECT c_mktsegment, [round(quantile_cont(c_acctbal, 0.25), 4), round(quantile_cont(c_acctbal, 0.75), 4)] AS q FROM customer GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 4) AS q1, round(quantile_cont(c_acctbal, 0.75), 4) AS q3 FROM customer GROUP BY c_mktsegment")
 def percentile_array(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.transform(aggregates.percentiles(F.col("c_acctbal"), [0.25, 0.75]), lambda x: F.round(x, 4)).alias("q"))
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(aggregates.percentiles(F.col("c_acctbal"), [0.25, 0.75]).alias("q")).select("c_mktsegment", F.round(F.col("q")[0], 4).alias("q1"), F.round(F.col("q")[1], 4).alias("q3"))
 
 
 @query("SELECT bit_and(p_size) FILTER (WHERE false) IS NULL AS none, cast(-1 AS BIGINT) AS a, cast(0 AS BIGINT) AS o FROM part")
@@ -148,13 +153,13 @@ def cte_recursive_distinct(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 2 + 1) % 25 AS b FROM nation), "
     "r AS (SELECT 0 AS node, [0] AS path, 0 AS depth, false AS is_cycle UNION ALL SELECT e.b, list_append(path, e.b), depth + 1, list_contains(path, e.b) FROM r JOIN e ON r.node = e.a WHERE NOT is_cycle) "
-    "SELECT node, path, depth, is_cycle FROM r"
+    "SELECT node, array_to_string(path, ',') AS path, depth, is_cycle FROM r"
 )
 def cte_search_cycle(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_nationkey")
     edges = table(spark, d, "nation").select(n.alias("a"), ((n * 2 + 1) % 25).alias("b"))
     start = spark.createDataFrame([(0,)], "k int")
-    return recursive.connect_by(edges, "a", "b", start).select("node", "path", "depth", "is_cycle")
+    return recursive.connect_by(edges, "a", "b", start).select("node", _told(F.col("path")).alias("path"), "depth", "is_cycle")
 
 
 @query("SELECT n_nationkey, cast(unnest(generate_series(1, n_regionkey)) AS INTEGER) AS i FROM nation WHERE n_regionkey > 0")
@@ -242,16 +247,16 @@ def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("ak") < F.col("bk")).select("a", "b", F.round(fn.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
-@query("SELECT n_nationkey, map_keys(m) AS ks, map_values(m) AS vs, m['name'] AS name FROM (SELECT n_nationkey, MAP {'name': n_name, 'key': cast(n_nationkey AS VARCHAR)} AS m FROM nation)")
+@query("SELECT n_nationkey, array_to_string(map_keys(m), ',') AS ks, array_to_string(map_values(m), ',') AS vs, m['name'] AS name FROM (SELECT n_nationkey, MAP {'name': n_name, 'key': cast(n_nationkey AS VARCHAR)} AS m FROM nation)")
 def ext_hstore_map(spark: SparkSession, d: str) -> DataFrame:
     m = F.create_map(F.lit("name"), F.col("n_name"), F.lit("key"), F.col("n_nationkey").cast("string"))
-    return table(spark, d, "nation").select("n_nationkey", F.map_keys(m).alias("ks"), F.map_values(m).alias("vs"), m["name"].alias("name"))
+    return table(spark, d, "nation").select("n_nationkey", _told(F.map_keys(m)).alias("ks"), _told(F.map_values(m)).alias("vs"), m["name"].alias("name"))
 
 
-@query("SELECT n_nationkey, len(a) AS icount, cast(list_position(a, 3) AS BIGINT) AS idx, list_reverse_sort(list_distinct(a)) AS d FROM (SELECT n_nationkey, [3, n_regionkey, 1, 3] AS a FROM nation)")
+@query("SELECT n_nationkey, len(a) AS icount, cast(list_position(a, 3) AS BIGINT) AS idx, array_to_string(list_reverse_sort(list_distinct(a)), ',') AS d FROM (SELECT n_nationkey, [3, n_regionkey, 1, 3] AS a FROM nation)")
 def ext_intarray(spark: SparkSession, d: str) -> DataFrame:
     a = F.array(F.lit(3), F.col("n_regionkey"), F.lit(1), F.lit(3))
-    return table(spark, d, "nation").select("n_nationkey", F.size(a).cast("long").alias("icount"), F.array_position(a, 3).alias("idx"), F.sort_array(F.array_distinct(a), False).alias("d"))
+    return table(spark, d, "nation").select("n_nationkey", F.size(a).cast("long").alias("icount"), F.array_position(a, 3).alias("idx"), _told(F.sort_array(F.array_distinct(a), False)).alias("d"))
 
 
 @query("SELECT o_orderkey, epoch(o_orderdate) AS secs, cast(date_part('month', age(TIMESTAMP '1999-01-01', o_orderdate)) + 12 * date_part('year', age(TIMESTAMP '1999-01-01', o_orderdate)) AS BIGINT) AS months FROM orders")
