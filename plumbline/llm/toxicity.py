@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _kernels as K
 
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 MAX_FEATURES = 1 << 17
 LEAST_DOCS = 5
 LEAST_Z = 4.0
@@ -152,15 +152,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
         return none
     lists = table["words"].combine_chunks()
     values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-    values = values[offsets[0] : offsets[-1]]
-    rows = np.repeat(np.arange(len(grades)), np.diff(offsets))
-    single = _without_copies(values, offsets - offsets[0])
-    values, rows, grades = values[single[rows]], (np.cumsum(single) - 1)[rows[single[rows]]], grades[single]
+    del table
+    values, offsets = values[offsets[0] : offsets[-1]], offsets - offsets[0]
+    single = _without_copies(values, offsets)
+    stays = np.repeat(single, np.diff(offsets))
+    values, grades = values[stays], grades[single]
+    rows = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(offsets)[single])
+    del lists, stays
     if len(np.unique(grades)) < 2:
         return none
-    vocabulary, inverse, held = np.unique(values, return_inverse=True, return_counts=True)
+    vocabulary, held = np.unique(values, return_counts=True)
+    place = np.searchsorted(vocabulary, values).astype(np.int32)
     # the sum of the grades of a word's holders against a draw of as many documents without replacement
-    total, n = np.bincount(inverse, grades[rows]), len(grades)
+    total, n = np.bincount(place, grades[rows]), len(grades)
     spread = grades.var() * held * (n - held) / max(1, n - 1)
     z = np.abs(total - held * grades.mean()) / np.sqrt(np.maximum(spread, 1e-12))
     good = (held >= min(least_docs, max(1, n // 50))) & (held < n) & (z >= least_z)
@@ -168,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
         good[np.lexsort((vocabulary, np.where(good, -z, 1)))[max_features:]] = False
     if not good.any():
         return none
-    number = np.where(good, np.cumsum(good) - 1, -1)[inverse]
+    number = np.where(good, np.cumsum(good) - 1, -1)[place]
     keep = number >= 0
+    del values, place
     rows, number, size = rows[keep], number[keep], int(good.sum())
     evidence = np.bincount(rows, fit_ordinal(rows, number, grades, size, 2)[0][number], n)
     toxic = np.flatnonzero(grades)
