@@ -15,7 +15,7 @@ from pyspark.sql import Window
 #: Words of every contract: runs of anything but the six ASCII white-space bytes. bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[object, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,18 +52,30 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.option("compression", compression).parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
 
 
-def release(df_or_none: DataFrame | None = None) -> None:
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no plan reads any more."""
+    for t in tables:
+        if t.written_path in _written:
+            _delete(t.written_path)
+
+
+def release() -> None:
     """Deletes all tables that written() made; only for the end of a program, or between independent runs."""
-    while _written:
-        spark, path = _written.pop()
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(path)
         except Exception:  # the session has ended; a shared folder has its own clean-up
             return
 

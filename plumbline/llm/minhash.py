@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plumbline.llm import _kernels as K
-from plumbline.llm._common import distinct_documents, written
+from plumbline.llm._common import discard, distinct_documents, written
 from plumbline.llm._repeats import compress, decompress
 
 COORDINATES = 64
@@ -259,11 +259,13 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        nearer = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
+        nearer = labels.select("node", "root").join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
         step = written(nearer.join(up, "root").select("node", F.least("root", "above").alias("root"), "old"), "labels")
-        labels = step.select("node", "root")
+        discard(labels)
+        labels = step
         if step.filter("root <> old").limit(1).count() == 0:
+            discard(both)
             return labels
 
 
@@ -272,14 +274,16 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     named = links.join(comp.select(F.col("uid").alias("a"), F.col("root").alias("ra")), "a").join(comp.select(F.col("uid").alias("b"), F.col("root").alias("rb")), "b")
     roots = components(named.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     joined = comp.join(roots, comp["root"] == roots["node"], "left")
-    return written(joined.select("uid", F.coalesce(roots["root"], comp["root"]).alias("root")), "components")
+    out = written(joined.select("uid", F.coalesce(roots["root"], comp["root"]).alias("root")), "components")
+    discard(roots, comp)
+    return out
 
 
 _RATIO = 1.05
 
 
-def _exact_candidates(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents in ids (uid, root) of different roots that may be `percent` alike, by shingles alone."""
+def _exact_candidates(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The table to discard after use, and pairs (a, b) of documents in ids (uid, root) of different roots that may be `percent` alike, by shingles alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,12 +309,14 @@ def _exact_candidates(docs: DataFrame, ids: DataFrame, k: int, percent: int) ->
     # lists of one root are skipped; in others, the members of the most frequent root don't meet each other
     parts = posted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     most = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "most")
-    posted = written(posted.join(most, "key"), "prefixes")
+    table = written(posted.join(most, "key"), "prefixes")
+    discard(held)
+    posted = table
     x = posted.filter("root <> most").select("key", "level", *[F.col(c).alias(f"{c}x") for c in ("uid", "root", "n", "place", "own")])
     y = posted.select("key", "level", *[F.col(c).alias(f"{c}y") for c in ("uid", "root", "n", "place", "own")])
     room = F.lit(1) + F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) >= shared(F.col("nx"), F.col("ny"))
     on = [x["key"] == y["key"], x["level"] == y["level"], F.col("rootx") != F.col("rooty"), x["level"] | (F.col("ownx") != F.col("owny")), room]
-    return _sorted_pairs(x.join(y, on).select(F.col("uidx").alias("a"), F.col("uidy").alias("b")))
+    return table, _sorted_pairs(x.join(y, on).select(F.col("uidx").alias("a"), F.col("uidy").alias("b")))
 
 
 def _sorted_pairs(pairs: DataFrame) -> DataFrame:
@@ -332,9 +338,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     comp = lists.select("uid").distinct().select("uid", F.col("uid").alias("root"))
 
     def linked(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        alike = written(matching(written(pairs, "pairs"), reps, needed, coordinates), "matches")
+        pairs = written(pairs, "pairs")
+        alike = written(matching(pairs, reps, needed, coordinates), "matches")
         links = written(confirmed(alike, docs, k, percent), "links")
-        return _merge(comp, links) if links.limit(1).count() else comp
+        comp = _merge(comp, links) if links.limit(1).count() else comp
+        discard(pairs, alike, links)
+        return comp
 
     short, long = (lists.filter(F.col("size") <= SHORT), lists.filter(F.col("size") > SHORT))
     x, y = (short.select("token", F.col("uid").alias(i)) for i in ("a", "b"))
@@ -345,7 +354,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     mixed = left.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
     ids = written(left.join(mixed, "token").select("uid", "root").distinct(), "open")
     if ids.limit(1).count():
-        comp = linked(_exact_candidates(docs, ids, k, percent), comp)
+        prefixes, candidates = _exact_candidates(docs, ids, k, percent)
+        comp = linked(candidates, comp)
+        discard(prefixes)
+    discard(reps, lists, ids)
     out = sigs.select("uid", "n").join(members, "uid", "left")
     roots = comp.select(F.col("uid").alias("rep"), "root")
     return out.join(roots, "rep", "left").select("uid", "n", F.coalesce("root", "rep", "uid").alias("root"))

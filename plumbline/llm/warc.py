@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from plumbline.llm._common import with_positions, written
+from plumbline.llm._common import discard, with_positions, written
 
 FANOUT = 16
 FILE_RECORDS = 4096
@@ -83,7 +83,9 @@ def damaged(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
         both = a.join(b, "idx", "full")
         differ = both.filter(~(F.col("h1").eqNullSafe(F.col("h2")) & F.col("n1").eqNullSafe(F.col("n2"))))
         status = F.when(F.col("h2").isNull(), "missing").when(F.col("h1").isNull(), "extra").otherwise("corrupt")
-        bad = written(differ.select("idx", status.alias("status")), "differing")
+        above, bad = bad, written(differ.select("idx", status.alias("status")), "differing")
+        if above is not None:
+            discard(above)
         if bad.limit(1).count() == 0:
             break
     return bad.select(F.col("idx").alias("position"), "status")
@@ -93,7 +95,10 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """(position, status) of the slots of two replicas (position, record) that differ."""
     top = [x.agg(F.max("position")).first()[0] for x in (first, second)]
     height = height_of(1 + max([-1, *(x for x in top if x is not None)]))
-    return damaged(tree(first, height), tree(second, height))
+    trees = tree(first, height), tree(second, height)
+    found = damaged(*trees)
+    discard(*trees[0], *trees[1])
+    return found
 
 
 def audited_pages(pages: DataFrame, decayed: Column | None = None, lost: Column | None = None) -> DataFrame:
