@@ -1,7 +1,7 @@
 """Scalar functions that differ from Spark's, and a registry by SQL name for both dialects.
 
-Every builder takes Columns (or plain values where the argument is a constant) and returns a Column of built-in functions:
-nothing here leaves the JVM.
+Every builder takes Columns (or plain values where the argument is a constant) and returns a Column. All but those of
+`json_udf` are built-in functions and stay in the JVM.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions import datetimes, geometry, json_udf
+
 Builder = Callable[..., Column]
 MYSQL: dict[str, Builder] = {}
 POSTGRES: dict[str, Builder] = {}
@@ -448,13 +450,6 @@ def json_merge_patch(a: Column, b: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(kept), lambda e: F.concat(json_quote(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
 
 
-def json_contains(doc: Column, value: Column) -> Column:
-    """A scalar among an array's elements, or an equal document."""
-    elements = F.from_json(doc, "array<variant>")
-    same = F.exists(elements, lambda e: F.to_json(e) == value)
-    return F.coalesce(same, doc == value)
-
-
 _SAME: dict[str, Builder] = {
     "ABS": F.abs, "ANY_VALUE": F.any_value, "ATAN2": F.atan2, "BIN": F.bin, "BIT_COUNT": F.bit_count, "BIT_LENGTH": F.bit_length, "CEIL": F.ceil, "CEILING": F.ceil,
     "CHAR_LENGTH": F.char_length, "CHARACTER_LENGTH": F.char_length, "CONCAT": F.concat, "COS": F.cos, "COT": F.cot, "CRC32": lambda x: F.crc32(x.cast("binary")), "DATEDIFF": F.datediff,
@@ -477,7 +472,7 @@ MYSQL |= {
     "ACOS": lambda x: _finite(F.acos(x)), "ASIN": lambda x: _finite(F.asin(x)), "ATAN": lambda *a: F.atan(a[0]) if len(a) == 1 else F.atan2(*a), "BIN_TO_UUID": bin_to_uuid, "CHAR": char_of,
     "CONCAT_WS": lambda s, *a: F.concat_ws(s, *a), "DATE_FORMAT": date_format, "ELT": elt, "EXPORT_SET": export_set, "FIELD": field, "FIND_IN_SET": F.find_in_set, "FORMAT": format_number,
     "FORMAT_BYTES": format_bytes, "FROM_DAYS": from_days, "GREATEST": mysql_greatest, "LEAST": mysql_least, "INET_ATON": inet_aton, "INET_NTOA": inet_ntoa, "INSERT": insert_at,
-    "INTERVAL": interval_index, "IS_IPV4": lambda x: x.rlike(IPV4), "IS_IPV6": is_ipv6, "IS_UUID": lambda x: x.rlike(UUID), "JSON_CONTAINS": json_contains, "JSON_KEYS": json_keys,
+    "INTERVAL": interval_index, "IS_IPV4": lambda x: x.rlike(IPV4), "IS_IPV6": is_ipv6, "IS_UUID": lambda x: x.rlike(UUID), "JSON_KEYS": json_keys,
     "JSON_MERGE_PATCH": json_merge_patch, "JSON_QUOTE": json_quote, "JSON_UNQUOTE": json_unquote, "LN": lambda x: mysql_log(x), "LOG": mysql_log, "LOG10": lambda x: F.when(x > 0, F.log10(x)),
     "LOG2": lambda x: F.when(x > 0, F.log2(x)), "LOCATE": lambda s, x, *at: F.locate(s, x, *at), "MAKEDATE": makedate, "MAKE_SET": make_set, "MATCH": match_against, "MOD": mysql_mod, "OCT": lambda x: F.conv(x, 10, 8),
     "ORD": mysql_ord, "PERIOD_ADD": period_add, "PERIOD_DIFF": period_diff, "QUOTE": mysql_quote, "SEC_TO_TIME": sec_to_time, "SQRT": lambda x: F.when(x >= 0, F.sqrt(x)), "STRCMP": strcmp,
@@ -485,7 +480,19 @@ MYSQL |= {
     "DIV": int_div, "IF": lambda c, a, b: F.when(F.coalesce(c, F.lit(False)), a).otherwise(b),
 }
 
+MYSQL |= {
+    "JSON_SET": json_udf.json_set, "JSON_INSERT": json_udf.json_insert, "JSON_REPLACE": json_udf.json_replace, "JSON_REMOVE": json_udf.json_remove, "JSON_ARRAY_APPEND": json_udf.json_array_append,
+    "JSON_ARRAY_INSERT": json_udf.json_array_insert, "JSON_DEPTH": json_udf.json_depth, "JSON_TYPE": json_udf.json_type, "JSON_PRETTY": json_udf.json_pretty, "JSON_MERGE_PRESERVE": json_udf.json_merge_preserve,
+    "JSON_MERGE": json_udf.json_merge_preserve, "JSON_CONTAINS": json_udf.json_contains, "JSON_OVERLAPS": json_udf.json_overlaps, "JSON_SEARCH": json_udf.json_search, "JSON_CONTAINS_PATH": json_udf.json_contains_path,
+    "ST_X": lambda p: p["x"], "ST_Y": lambda p: p["y"], "ST_LONGITUDE": lambda p: p["x"], "ST_LATITUDE": lambda p: p["y"], "POINT": geometry.point, "LINESTRING": geometry.line, "ST_AREA": geometry.area, "ST_LENGTH": geometry.length,
+    "ST_CENTROID": geometry.centroid, "ST_CONTAINS": geometry.contains, "ST_WITHIN": lambda p, r: geometry.contains(r, p), "ST_DISTANCE": geometry.distance, "ST_DISTANCE_SPHERE": geometry.distance_sphere, "ST_ENVELOPE": geometry.envelope,
+    "ST_NUMPOINTS": geometry.num_points, "ST_POINTN": geometry.point_n, "ST_STARTPOINT": geometry.start_point, "ST_ENDPOINT": geometry.end_point, "ST_ISCLOSED": geometry.is_closed, "ST_SWAPXY": geometry.swap_xy,
+    "ST_ASTEXT": geometry.as_text, "ST_ASWKT": geometry.as_text, "ST_GEOMFROMTEXT": geometry.from_text, "ST_GEOHASH": geometry.geohash, "MBRCONTAINS": geometry.mbr_covers, "MBRCOVERS": geometry.mbr_covers,
+    "MBRWITHIN": lambda a, b: geometry.mbr_covers(b, a), "MBRCOVEREDBY": lambda a, b: geometry.mbr_covers(b, a), "MBRDISJOINT": geometry.mbr_disjoint, "MBREQUALS": geometry.mbr_equals, "MBRINTERSECTS": geometry.mbr_intersects, "MBRTOUCHES": geometry.mbr_touches,
+}
+
 POSTGRES |= {
+    "jsonb_path_query_array": json_udf.path_query_array, "jsonb_path_exists": json_udf.path_exists, "timestamp_in": datetimes.parse_timestamp, "interval_in": datetimes.parse_interval,
     "num_nulls": num_nulls, "num_nonnulls": num_nonnulls, "initcap": initcap, "regexp_split_to_array": regexp_split, "similarity": similarity, "word_similarity": word_similarity, "show_trgm": show_trgm,
     "unaccent": unaccent, "levenshtein": F.levenshtein, "soundex": F.soundex, "difference": lambda a, b: sum((F.substring(F.soundex(a), i, 1) == F.substring(F.soundex(b), i, 1)).cast("int") for i in range(1, 5)),
     "nlevel": nlevel, "subpath": subpath, "lca": lca, "ltree_isparent": is_ancestor, "akeys": F.map_keys, "avals": F.map_values, "exist": F.map_contains_key, "hs_concat": hstore_concat, "delete": hstore_delete,

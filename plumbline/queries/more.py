@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import datetimes, json_udf, udf
 from plumbline.functions import geometry as geo
-from plumbline.functions import udf
 from plumbline.operators import views, xml
 from plumbline.queries._registry import query
 from plumbline.session import table
@@ -93,3 +93,14 @@ def tablesample(spark: SparkSession, d: str) -> DataFrame:
     one, other = sources.sample(t, 10, 7), sources.sample(t.repartition(3), 10, 7)
     counts = one.agg(F.count(F.lit(1)).alias("a")).crossJoin(other.agg(F.count(F.lit(1)).alias("b"))).crossJoin(t.agg(F.count(F.lit(1)).alias("n")))
     return counts.select(F.lit("rows").alias("what"), ((F.abs(F.col("a") - F.col("n") / 10) <= F.col("n") / 50) & (F.col("a") == F.col("b"))).alias("near"))
+
+
+@query("SELECT event_id, CASE WHEN cast(props ->> '$.k' AS INT) > 50 THEN '[' || (props ->> '$.k') || ']' ELSE '[]' END AS found, '{\"k\": ' || (props ->> '$.k') || ', \"z\": 1}' AS doc FROM events")
+def jsonpath_and_json_set(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("props")
+    return table(spark, d, "events").select("event_id", json_udf.path_query_array(p, "$.k ? (@ > 50)").alias("found"), json_udf.json_set(p, "$.z", 1).alias("doc"))
+
+
+@query("SELECT o_orderkey, cast(o_orderdate + INTERVAL 14 MONTH + INTERVAL 3 DAY + INTERVAL 4 HOUR AS TIMESTAMP) AS due FROM orders")
+def interval_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", datetimes.add_interval(F.col("o_orderdate"), datetimes.parse_interval(F.lit("1 year 2 mons 3 days 04:00:00"))).alias("due"))

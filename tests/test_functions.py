@@ -70,3 +70,43 @@ def test_hstore(spark):
 def test_formats_without_a_pattern():
     with pytest.raises(ValueError):
         fn.mysql_format("%U")
+
+
+def test_json_changes(spark):
+    doc = F.lit('{"a": 1, "b": [2, 3]}')
+    call = lambda name, *a: fn.lookup(name)(doc, *a)
+    row = list(
+        spark.range(1).select(
+            call("JSON_SET", "$.a", 10, "$.c", [1]), call("JSON_INSERT", "$.a", 10, "$.c", True), call("JSON_REPLACE", "$.a", 10, "$.c", 1), call("JSON_REMOVE", "$.b[0]"), call("JSON_ARRAY_APPEND", "$.b", 4, "$.a", 2),
+            call("JSON_ARRAY_INSERT", "$.b[1]", 9), call("JSON_DEPTH"), call("JSON_TYPE"), call("JSON_MERGE_PRESERVE", F.lit('{"a": 5}')), call("JSON_CONTAINS", F.lit('{"b": [3]}')), call("JSON_OVERLAPS", F.lit('{"a": 1}')),
+            fn.lookup("JSON_SEARCH")(F.lit('["abc", [{"k": "10"}, "def"], {"x": "abc"}]'), "abc", True), call("JSON_CONTAINS_PATH", False, "$.z", "$.b"), fn.lookup("JSON_SET")(F.lit("{"), "$.a", 1),
+        ).first()
+    )
+    assert row == [
+        '{"a": 10, "b": [2, 3], "c": [1]}', '{"a": 1, "b": [2, 3], "c": true}', '{"a": 10, "b": [2, 3]}', '{"a": 1, "b": [3]}', '{"a": [1, 2], "b": [2, 3, 4]}',
+        '{"a": 1, "b": [2, 9, 3]}', 3, "OBJECT", '{"a": [1, 5], "b": [2, 3]}', True, True, '["$[0]", "$[2].x"]', True, None,
+    ]
+
+
+def test_jsonpath():
+    from plumbline.functions.json_udf import JsonPath, PathError
+
+    doc = {"xs": [{"v": 1, "t": "ab"}, {"v": 5, "t": "cd"}, {"t": None}], "n": {"m": [10, 20, 30]}}
+    cases = {
+        "$.xs[*].v": [1, 5], "$.xs ? (@.v > 1).t": ["cd"], '$.xs[*] ? (@.t like_regex "^a" || @.v == 5).v': [1, 5], "$.n.m[last]": [30], "$.n.m[0 to 1]": [10, 20], "$.n.m.size()": [3], "$.xs[*] ? (exists(@.v) && !(@.v < 5)).v": [5],
+        "$.xs[*].t.type()": ["string", "string", "null"], '$.xs[*].t ? (@ starts with "c")': ["cd"], "$.missing": [], "$.xs[*] ? (@.t == null).t": [None], "$.**.m[1]": [20],
+    }
+    for path, want in cases.items():
+        assert JsonPath(path).query(doc) == want, path
+    for bad in ("$.", "$ ? (", "xs", "$.a ? (@.b ~ 1)"):
+        with pytest.raises((PathError, ValueError)):
+            JsonPath(bad)
+
+
+def test_datetime_text(spark):
+    texts = ["2024-02-29 13:05:07.5", "2024-02-29T13:05", "20240229", "Jan 8, 1999", "8 January 1999", "1/8/1999", "infinity", "epoch", "nonsense", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(fn.lookup("timestamp_in", "postgres")(F.col("t")).cast("string")).collect()
+    assert [r[0] for r in rows] == ["2024-02-29 13:05:07.5", None, "2024-02-29 00:00:00", "1999-01-08 00:00:00", "1999-01-08 00:00:00", "1999-01-08 00:00:00", "9999-12-31 23:59:59.999999", "1970-01-01 00:00:00", None, None]
+    spans = {"1 year 2 mons 3 days 04:05:06": (14, 3, 14706000000), "P1Y2M3DT4H5M6S": (14, 3, 14706000000), "2 weeks ago": (0, -14, 0), "-1:30": (0, 0, -5400000000), "1.5 hours": (0, 0, 5400000000), "@ 1 minute": (0, 0, 60000000), "one day": None}
+    rows = spark.createDataFrame([(t,) for t in spans], "t string").select("t", fn.lookup("interval_in", "postgres")(F.col("t")).alias("i")).collect()
+    assert {r.t: tuple(r.i) if r.i else None for r in rows} == spans
