@@ -118,7 +118,3 @@ def distinct_documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[Da
         numbered.alias("k"), (F.col("b.doc_id").eqNullSafe(F.col("k.doc_id"))) & (F.col("b.sha") == F.col("k.sha"))
     )
     return keyed.select("uid", F.col("b.doc_id").alias("doc_id"), "text", *held), False
-
-
-def session_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

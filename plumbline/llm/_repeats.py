@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm._workers import tidied
+
 #: A minimiser with at least this share of all runs is heavy: windows choose it only if they hold no other.
 HEAVY_SHARE = 2.0**-18
 #: Raw bytes of texts that a task turns into one set of sorted, packed runs at a time.
@@ -120,7 +122,7 @@ def cut(docs: DataFrame, spans: DataFrame, edit: Callable[[bytes, list[tuple[int
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, *part.columns[3:]], names=["uid", "doc_id", "packed", *others])
 
     gathered = spans.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    small = docs.select("uid", "doc_id", "text", *others).mapInArrow(shrink, "uid long, doc_id long, packed binary" + kept)
+    small = docs.select("uid", "doc_id", "text", *others).mapInArrow(tidied(shrink), "uid long, doc_id long, packed binary" + kept)
     rows = small.join(gathered, "uid", "left").select("doc_id", "packed", "starts", "ends", *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,7 @@ def cut(docs: DataFrame, spans: DataFrame, edit: Callable[[bytes, list[tuple[int
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, *part.columns[4:]], names=["doc_id", *(f"c{i}" for i in range(len(kinds))), *others])
 
-    return rows.mapInArrow(run, f"doc_id long, {schema}{kept}")
+    return rows.mapInArrow(tidied(run), f"doc_id long, {schema}{kept}")
 
 
 def sha256(data: bytes) -> str:
@@ -154,10 +156,10 @@ def survey(docs: DataFrame, look: Callable[[Iterator[tuple[int, str]]], Iterator
         for kind, keys, counts in look(texts):
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["kind", "key", "n"])
 
-    found = docs.select("uid", "text").mapInArrow(run, "kind string, key long, n long")
-    summed = found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    from plumbline.llm._common import written
+    from plumbline.llm._common import written  # not at the top: this module travels to executors, sessions don't
 
+    found = docs.select("uid", "text").mapInArrow(tidied(run), "kind string, key long, n long")
+    summed = found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     table = written(summed, "survey")
     total = table.filter(F.col("kind") == "all").agg(F.sum("n")).first()[0] or 0
     heavy = table.filter((F.col("kind") == "run") & (F.col("n") >= F.lit(max(32.0, HEAVY_SHARE * total)))).select("key").toArrow()["key"].to_numpy()

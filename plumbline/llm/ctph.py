@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plumbline.llm._common import written
+from plumbline.llm._workers import tidied
 
 LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _LETTERS = np.frombuffer(LETTERS, np.uint8)
@@ -190,7 +191,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         if first is not None:
             yield packed([], [(part, *first, last[0], last[1])])
 
-    table = written(ordered.mapInArrow(run, SCHEMA + ", part int, first_id long, first_text string, last_id long, last_text string"), "ctph")
+    table = written(ordered.mapInArrow(tidied(run), SCHEMA + ", part int, first_id long, first_text string, last_id long, last_text string"), "ctph")
     ends = table.filter(F.col("part").isNotNull()).select("part", "first_text", "last_id", "last_text")
     w = Window.orderBy("part")  # one row a partition
     lone = F.first("first_text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -202,4 +203,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows)
 
-    return table.filter(F.col("part").isNull()).select(*_NAMES).unionByName(seams.mapInArrow(stitch, SCHEMA))
+    return table.filter(F.col("part").isNull()).select(*_NAMES).unionByName(seams.mapInArrow(tidied(stitch), SCHEMA))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm._workers import tidied
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 UNIT = 64
 IDAT_BYTES = 1 << 16
@@ -170,7 +172,7 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 )
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return source.mapInArrow(tidied(run), "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame, errors: str = "raise") -> DataFrame:
@@ -194,4 +196,4 @@ def media_features(media: DataFrame, errors: str = "raise") -> DataFrame:
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), FEATURES)

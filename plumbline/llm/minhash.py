@@ -35,6 +35,7 @@ from pyspark.sql import Window
 
 from plumbline.llm import _kernels as K
 from plumbline.llm._common import discard, distinct_documents, written
+from plumbline.llm._workers import tidied
 from plumbline.llm._repeats import compress, decompress
 
 COORDINATES = 64
@@ -126,7 +127,7 @@ def signatures(docs: DataFrame, k: int, coordinates: int = COORDINATES) -> DataF
                     names=["uid", "n", "f1", "f2", "sig"],
                 )
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, n long, f1 long, f2 long, sig binary")
+    return docs.select("uid", "text").mapInArrow(tidied(run), "uid long, n long, f1 long, f2 long, sig binary")
 
 
 def _tokens(sigs: list[bytes], coordinates: int) -> np.ndarray:
@@ -159,8 +160,8 @@ def token_counts(reps: DataFrame, coordinates: int) -> np.ndarray:
         for part, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["part", "counts"])
 
-    partial = reps.select("sig").mapInArrow(count, "part int, counts binary")
-    rows = partial.repartitionById(_PARTS, F.col("part")).mapInArrow(add, "part int, counts binary").toArrow()
+    partial = reps.select("sig").mapInArrow(tidied(count), "part int, counts binary")
+    rows = partial.repartitionById(_PARTS, F.col("part")).mapInArrow(tidied(add), "part int, counts binary").toArrow()
     out = np.zeros((_PARTS, _SLOTS // _PARTS), np.uint32)
     for part, blob in zip(rows["part"].to_pylist(), rows["counts"].to_pylist(), strict=True):
         out[part] = np.frombuffer(blob, np.uint32)
@@ -183,7 +184,7 @@ def postings(reps: DataFrame, counts: np.ndarray, prefix: int, coordinates: int)
                 score = np.repeat(np.log1p(often).sum(axis=1).round(6), picked.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(picked.ravel().view(np.int64)), pa.array(uid), pa.array(score)], names=["token", "uid", "score"])
 
-    return reps.select("uid", "sig").mapInArrow(run, "token long, uid long, score double")
+    return reps.select("uid", "sig").mapInArrow(tidied(run), "token long, uid long, score double")
 
 
 def matching(pairs: DataFrame, sigs: DataFrame, needed: int, coordinates: int) -> DataFrame:
@@ -197,7 +198,7 @@ def matching(pairs: DataFrame, sigs: DataFrame, needed: int, coordinates: int) -
 
     left = sigs.select(F.col("uid").alias("a"), F.col("sig").alias("x"))
     right = sigs.select(F.col("uid").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 _BITS = 1 << 26
@@ -228,7 +229,7 @@ def _needed_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             del at
 
     source = docs.select("uid", "text", F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at"))
-    return source.mapInArrow(run, "uid long, packed binary")
+    return source.mapInArrow(tidied(run), "uid long, packed binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -250,7 +251,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     texts = _needed_texts(docs, pairs)
     left = texts.select(F.col("uid").alias("a"), F.col("packed").alias("x"))
     right = texts.select(F.col("uid").alias("b"), F.col("packed").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,7 +296,7 @@ def _exact_candidates(docs: DataFrame, ids: DataFrame, k: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], names=["uid", "root", "n", "shingle"])
 
     texts = _needed_texts(docs, ids.select(F.col("uid").alias("a"), F.col("uid").alias("b"))).join(ids, "uid").select("uid", "packed", "root")
-    held = written(texts.mapInArrow(run, "uid long, root long, n long, shingle long"), "shingles")
+    held = written(texts.mapInArrow(tidied(run), "uid long, root long, n long, shingle long"), "shingles")
     often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
     ranked = held.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("uid").orderBy("holders", "shingle")))  # one document's shingles
     reach = math.ceil(math.log(100 / percent) / math.log(_RATIO)) + 1

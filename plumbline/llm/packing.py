@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm._workers import tidied
+
 CAPACITY = 2048
 SHARD_ROWS = 8192
 
@@ -119,7 +121,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
             yield from _packed(shards.pop(shard), shard, capacity)
 
     rows = dealt.repartitionById(shards, F.col("shard")).select("doc_id", "source", "size", "cluster", "row", "shard")
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(tidied(run), SCHEMA)
 
 
 def _packed(items: list[tuple], shard: int, capacity: int) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from plumbline.llm import _kernels as K
 from plumbline.llm import _repeats as R
 from plumbline.llm._common import distinct_documents
+from plumbline.llm._workers import tidied
 
 LENGTH = 100
 DEPTH = 24
@@ -373,8 +374,8 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
         for number in list(by_bucket):
             yield from _merge_bucket(by_bucket.pop(number))
 
-    rows = docs.select("uid", "text").mapInArrow(split, "bucket int, open boolean, blob binary")
-    return R.exchange(spark, rows, ranges * within).mapInArrow(gather, R.SPANS)
+    rows = docs.select("uid", "text").mapInArrow(tidied(split), "bucket int, open boolean, blob binary")
+    return R.exchange(spark, rows, ranges * within).mapInArrow(tidied(gather), R.SPANS)
 
 
 def _digest(data: bytes, spans: list[tuple[int, int]]) -> tuple:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from plumbline.llm import _kernels as K
 from plumbline.llm import _repeats as R
 from plumbline.llm._common import distinct_documents
+from plumbline.llm._workers import tidied
 from plumbline.llm.suffixes import _heavy_table, ranked_keys, runs_of
 
 WINDOW = 13
@@ -211,8 +212,8 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
             owner, first = repeated_windows(list(data), np.concatenate(uid), np.concatenate(pos), np.concatenate(count))
             yield from R.span_rows(owner, first, first + WINDOW)
 
-    rows = docs.select("uid", "text").mapInArrow(split, "bucket int, open boolean, blob binary")
-    return R.exchange(spark, rows, buckets).mapInArrow(gather, R.SPANS)
+    rows = docs.select("uid", "text").mapInArrow(tidied(split), "bucket int, open boolean, blob binary")
+    return R.exchange(spark, rows, buckets).mapInArrow(tidied(gather), R.SPANS)
 
 
 def _kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, bytes]:

@@ -23,6 +23,7 @@ from pyspark.sql import Window
 from pyspark.taskcontext import TaskContext
 
 from plumbline.llm._common import written
+from plumbline.llm._workers import tidied
 
 TOKENIZERS = "/opt/tokenizers"
 BLOCK_TOKENS = 1 << 16
@@ -102,7 +103,7 @@ def write_token_blocks(docs: DataFrame, vocabulary: str | None = None, eod: int
             yield block(np.concatenate(parts), [d for _, d in ended])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "shard int, block_no long, payload binary, doc_ids array<long>")
+    return source.mapInArrow(tidied(run), "shard int, block_no long, payload binary, doc_ids array<long>")
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -127,7 +128,7 @@ def scan(blocks: DataFrame, eod: int = EOD, width: int = 2) -> DataFrame:
                 names=["shard", "block_no", "n", "ends"],
             )
 
-    found = blocks.select("shard", "block_no", "payload").mapInArrow(run, f"shard {shard_type}, block_no long, n long, ends array<long>")
+    found = blocks.select("shard", "block_no", "payload").mapInArrow(tidied(run), f"shard {shard_type}, block_no long, n long, ends array<long>")
     w = Window.partitionBy("shard").orderBy("block_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     last_end = F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1) + 1)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import _kernels as K
+from plumbline.llm._workers import tidied
 
 MAX_TRAIN = 8_000
 MAX_FEATURES = 1 << 17
@@ -145,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
             sets = [np.unique(np.concatenate(x)).view(np.int64) for x in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "grade", "words"])
 
-    table = chosen.mapInArrow(run, "doc long, grade int, words array<long>").toArrow()
+    table = chosen.mapInArrow(tidied(run), "doc long, grade int, words array<long>").toArrow()
     table = table.take(pc.sort_indices(table, [("doc", "ascending")]))  # fits don't depend on the order of tasks
     grades = table["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
@@ -220,7 +221,7 @@ def _scored(docs: DataFrame, model: OrdinalModel, reject_at: float) -> DataFrame
                 )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, " + SCORES)
+    return source.mapInArrow(tidied(run), "doc_id long, " + SCORES)
 
 
 def score(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, **training) -> DataFrame:
@@ -241,4 +242,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_A
                 part = batch.slice(at, 1000)
                 yield part.filter(pa.array(score_texts(own, part.column(place).to_pylist())[:, 0] < reject_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
