@@ -74,10 +74,3 @@ def range_union(df: DataFrame, keys: list[str], low: str, high: str) -> DataFram
 def range_intersection(low: Column, high: Column) -> tuple[Column, Column]:
     """range_intersect_agg of [low, high): its bounds; empty where low is not below high."""
     return F.max(low), F.min(high)
-
-
-def salted_sum(df: DataFrame, keys: list[str], value: Column, name: str, salts: int = 16) -> DataFrame:
-    """A sum in two exchanges for functions that Spark can't combine before the first one; plain sums combine by themselves."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
-    partial = salted.groupBy(*keys, "_salt").agg(F.sum(value).alias("_part"))
-    return partial.groupBy(*keys).agg(F.sum("_part").alias(name))

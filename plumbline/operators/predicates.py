@@ -101,8 +101,3 @@ def compare_subquery(df: DataFrame, x: Column, op: str, quantifier: str, sub: Da
     open_end = told if quantifier == "ANY" else ~told  # decided in spite of nulls
     out = F.when(F.col("_n") == 0, F.lit(quantifier == "ALL")).when((F.col("_v") < F.col("_n")) & ~F.coalesce(open_end, F.lit(False)), F.lit(None).cast("boolean")).otherwise(told)
     return df.crossJoin(F.broadcast(stats)).withColumn(name, out).drop("_lo", "_hi", "_n", "_v")
-
-
-def starts_lexically(x: Column, prefix: str) -> Column:
-    """A prefix test that reaches the Parquet scan."""
-    return x.startswith(prefix)
