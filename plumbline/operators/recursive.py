@@ -5,35 +5,51 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df as a written table: the plan of the next turn begins here, and a lost executor costs one turn at most."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if option.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+class _Turns:
+    """The rows of each turn as a directory of one table: the next turn's plan reads two paths, however many turns there were, and a lost executor costs one turn at most."""
+
+    def __init__(self, spark: SparkSession, schema: T.StructType) -> None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
             option = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = option.get()
-    path = f"{base}/recursive-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+            if option.isEmpty():
+                spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+                option = spark.sparkContext._jsc.sc().getCheckpointDir()
+            base = option.get()
+        self.spark, self.schema, self.root, self.turn = spark, schema, f"{base}/recursive-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Writes a turn; its rows and their number, counted while they are written."""
+        seen = Observation()
+        path = f"{self.root}/_turn={self.turn}"
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        self.turn += 1
+        return self.spark.read.schema(self.schema).parquet(path), seen.get["n"]
+
+    def every(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/_turn={i}" for i in range(self.turn)])
 
 
 def recursive_union(base: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
     """WITH RECURSIVE r AS (base UNION step(r)): semi-naive, each turn joins only the rows that the last one found; ends when none are new."""
-    new = _cut(base.distinct())
-    every = new
+    first = base.distinct()
+    turns = _Turns(base.sparkSession, first.schema)
+    new, n = turns.add(first)
     for _ in range(most):
-        new = _cut(step(new).toDF(*base.columns).distinct().join(every, base.columns, "left_anti") if base.columns else step(new))
-        if new.limit(1).count() == 0:
-            return every
-        every = every.union(new)
+        if not n:
+            return turns.every()
+        every = turns.every().alias("every")
+        grown = step(new).toDF(*base.columns).distinct().alias("grown")
+        known = reduce(and_, (F.col(f"grown.{c}").eqNullSafe(F.col(f"every.{c}")) for c in base.columns))  # UNION takes nulls as equal
+        new, n = turns.add(grown.join(every, known, "left_anti"))
     raise RecursionError(f"no fixpoint after {most} turns")
 
 
@@ -43,15 +59,15 @@ def search_cycle(base: DataFrame, step: Callable[[DataFrame], DataFrame], key: s
     `step` takes the rows of the last turn and returns rows with base's columns and the parent's `path`. Order by `path` for
     depth first, by `depth` for breadth first.
     """
-    new = _cut(base.withColumn(path, F.array(F.col(key))).withColumn(depth, F.lit(0)).withColumn(cycle, F.lit(False)))
-    every = new
+    first = base.withColumn(path, F.array(F.col(key))).withColumn(depth, F.lit(0)).withColumn(cycle, F.lit(False))
+    turns = _Turns(base.sparkSession, first.schema)
+    new, n = turns.add(first)
     for turn in range(1, most):
+        if not n:
+            return turns.every()
         grown = step(new.filter(~F.col(cycle)))
         grown = grown.withColumn(cycle, F.array_contains(path, F.col(key))).withColumn(path, F.array_append(path, F.col(key))).withColumn(depth, F.lit(turn))
-        new = _cut(grown.select(*every.columns))
-        if new.limit(1).count() == 0:
-            return every
-        every = every.union(new)
+        new, n = turns.add(grown.select(*first.columns))
     raise RecursionError(f"rows after {most} turns")
 
 

@@ -172,3 +172,9 @@ def test_identity_continues(spark):
     t = spark.createDataFrame([(5, "a")], "id long, s string")
     out = dml.insert(t, spark.createDataFrame([("b",), ("c",)], "s string"), identity="id").table.collect()
     assert len({r.id for r in out}) == 3 and min(r.id for r in out) == 5
+
+
+def test_recursive_union_with_nulls(spark):
+    base = spark.createDataFrame([(1, None)], "a int, b int")
+    got = recursive.recursive_union(base, lambda r: r.select(F.least(F.col("a") + 1, F.lit(3)), F.col("b")))
+    assert sorted(r.a for r in got.collect()) == [1, 2, 3]
