@@ -465,3 +465,25 @@ def test_ordinal_fit_recovers_order():
     got, thresholds = toxicity.fit_ordinal(rows, columns, grades, 4, 4, l2=1e-6, steps=1500)
     assert np.abs(got - w).max() < 0.3
     assert np.abs(thresholds - [0.0, 1.5, 3.0]).max() < 0.3
+
+
+def test_shingles_of_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join("W%d" % rng.randrange(300) for _ in range(n)) for n in (1, 2, 3, 50, 4000)] + ["", None, " \n ", "x" * 5000, "é " * 900]
+    for k in (1, 3, 5):
+        want = minhash.shingle_sets(texts, k)
+        for chunk in (40, 1000):
+            monkeypatch.setattr(minhash, "_CHUNK", chunk)
+            got = minhash.shingle_sets(texts, k)
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(want, got, strict=True)), (k, chunk)
+        monkeypatch.undo()
+
+
+def test_toxicity_long_texts_in_pieces(monkeypatch):
+    words = toxicity._word_hashes([b"idiot scum"])[0]
+    model = toxicity.OrdinalModel(np.sort(words), np.array([2.0, 3.0]), np.array([1.0, 2.0, 3.0]))
+    texts = ["so " * 400 + "idiot " + "so " * 400 + "Scum!", "", None, "y" * 3000]
+    want = toxicity.score_texts(model, texts)
+    monkeypatch.setattr(toxicity, "_CHUNK", 100)
+    assert np.allclose(toxicity.score_texts(model, texts), want)
+    assert want[0, 0] > 0.9 > want[1, 0]
