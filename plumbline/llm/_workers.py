@@ -10,6 +10,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 
+def give_back() -> None:
+    """Returns this process's free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow, giving the memory that a worker has free back to the system when its task ends: idle workers stay with their executor."""
 
@@ -17,9 +25,6 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return through

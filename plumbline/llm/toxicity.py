@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import _kernels as K
-from plumbline.llm._workers import tidied
+from plumbline.llm._workers import give_back, tidied
 
 MAX_TRAIN = 8_000
 MAX_FEATURES = 1 << 17
@@ -129,7 +129,15 @@ def _without_copies(values: np.ndarray, offsets: np.ndarray, bands: int = 4, wid
     return stays
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, **bounds) -> OrdinalModel:
+    """The model of `_trained`; the driver keeps nothing else."""
+    try:
+        return _trained(docs, labels, **bounds)
+    finally:
+        give_back()
+
+
+def _trained(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z) -> OrdinalModel:
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.arange(40.0, 40 + GRADES - 1))
     grade = F.when(F.col("toxic") == 0, 0).otherwise(1)
     graded = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(grade).alias("_grade"))
