@@ -108,7 +108,7 @@ def audited_pages(pages: DataFrame, decayed: Column | None = None, lost: Column
     every finding of `audit` is the record's status, other records are intact.
     """
     slots = archive(pages)
-    slots = written(slots.withColumn("_decayed", decayed if decayed is not None else F.col("html")).withColumn("_lost", lost if lost is not None else F.lit(False)), "slots")
+    slots = slots.withColumn("_decayed", decayed if decayed is not None else F.col("html")).withColumn("_lost", lost if lost is not None else F.lit(False))
     first = slots.select("position", record(F.col("url"), F.col("html")).alias("record"))
     second = slots.filter(~F.col("_lost")).select("position", record(F.col("url"), F.col("_decayed")).alias("record"))
     found = audit(first, second)
