@@ -78,6 +78,7 @@ def _pieces(texts: list[str | None], k: int) -> Iterator[tuple[int, bytes]]:
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted 64-bit hashes of each text's different shingles of k words."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
+    short: dict[int, np.ndarray] = {}  # the whole sequence of a text's last piece of fewer than k words; it carries all words so far
     factors = K.powers(k + 1, 0xC2B2AE3D27D4EB4F)[1:]
     for keys, parts in K.grouped(_pieces(texts, k), _CHUNK):
         buf, _, starts = K.joined(parts)
@@ -94,7 +95,10 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
                 found[key].append(np.unique(grams[i : j - k + 1]))
             elif j > i and not found[key]:
                 whole = K.slice_hash(K.prefix_hash(words[i:j]), np.array([0]), np.array([j - i]))
-                found[key].append(whole ^ np.uint64(j - i))
+                short[key] = whole ^ np.uint64(j - i)
+    for key, whole in short.items():
+        if not found[key]:
+            found[key].append(whole)
     return [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found]
 
 

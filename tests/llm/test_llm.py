@@ -479,6 +479,17 @@ def test_shingles_of_long_texts_in_pieces(monkeypatch):
         monkeypatch.undo()
 
 
+def test_shingles_of_long_words_in_pieces(monkeypatch):
+    w = "W" * 100
+    texts = [w + " a b c", w + " x", w + " y", w, f"{w} {w} z", f" {w} {w}", f"a {w} b {w} c d"]
+    want = minhash.shingle_sets(texts, 3)
+    assert [len(x) for x in want] == [2, 1, 1, 1, 1, 1, 4]
+    for chunk in (40, 150):
+        monkeypatch.setattr(minhash, "_CHUNK", chunk)
+        got = minhash.shingle_sets(texts, 3)
+        assert [x.tolist() for x in got] == [x.tolist() for x in want], chunk
+
+
 def test_toxicity_long_texts_in_pieces(monkeypatch):
     words = toxicity._word_hashes([b"idiot scum"])[0]
     model = toxicity.OrdinalModel(np.sort(words), np.array([2.0, 3.0]), np.array([1.0, 2.0, 3.0]))
