@@ -6,8 +6,8 @@ again by weight, until none is above: the level L where sum(min(weight * L, most
 prefix sums over the sources in the order of their filling points. A source's repetition rate is target / size; each
 document is taken floor(rate) times and once more if its seeded hash falls below the fraction.
 
-Defined results: a null text or one without words has size 0 and is never taken; a source whose documents are all empty
-has target 0; null is a source of its own; rows alike in id and text hash alike, so they are taken alike. The hash is
+Defined results: a null text or one without words has size 0, so no words of it are taken, but `mixed` repeats its row by
+its source's rate like any other; a source whose documents are all empty has target 0 and rate 0; null is a source of its own; rows alike in id and text hash alike, so they are taken alike. The hash is
 that of the id and the text, so it doesn't depend on partitions, order or earlier runs. Columns of the input that clash
 with the operator's own are kept by `mixed` as they are.
 """
@@ -95,5 +95,5 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = F
     names = docs.columns
     joined = docs.join(_hinted(goals), docs["source"].eqNullSafe(F.col("_source")))
     copies = (F.floor("_rate") + (_chance(seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    rows = joined.withColumn("_copies", copies).filter(F.col("_copies") > 0).filter(n_words(F.col("text")) > 0)
+    rows = joined.withColumn("_copies", copies).filter(F.col("_copies") > 0)
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)

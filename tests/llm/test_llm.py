@@ -350,6 +350,14 @@ def test_mixing(odd, none, documents):
     assert mixing.mix(none).collect() == []
 
 
+def test_mixing_keeps_rows_without_words(spark):
+    rows = [(i, "some words here", "a") for i in range(40)] + [(100 + i, t, "a") for i, t in enumerate((None, "", " \n ") * 10)] + [(200, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+    got = collections.Counter(r.doc_id for r in mixing.mixed(docs).collect())
+    assert got == want and any(100 <= i < 200 for i in got) and 200 not in got
+
+
 def test_mixing_many_sources(spark):
     rng = random.Random(3)
     rows = [(i, " ".join("w" * rng.randrange(1, 40)), "s%04d" % rng.randrange(3000)) for i in range(6000)]
