@@ -443,13 +443,6 @@ def json_quote(x: Column) -> Column:
     return F.when(x.isNotNull(), text.substr(F.lit(6), F.length(text) - 6))
 
 
-def json_merge_patch(a: Column, b: Column) -> Column:
-    """For flat objects: b's members win, null members go."""
-    m = hstore_concat(*(F.transform_values(F.from_json(x, "map<string,variant>"), lambda _, v: F.to_json(v)) for x in (a, b)))
-    kept = F.filter(F.map_entries(m), lambda e: e["value"].isNotNull() & (e["value"] != "null"))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(kept), lambda e: F.concat(json_quote(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
-
-
 _SAME: dict[str, Builder] = {
     "ABS": F.abs, "ANY_VALUE": F.any_value, "ATAN2": F.atan2, "BIN": F.bin, "BIT_COUNT": F.bit_count, "BIT_LENGTH": F.bit_length, "CEIL": F.ceil, "CEILING": F.ceil,
     "CHAR_LENGTH": F.char_length, "CHARACTER_LENGTH": F.char_length, "CONCAT": F.concat, "COS": F.cos, "COT": F.cot, "CRC32": lambda x: F.crc32(x.cast("binary")), "DATEDIFF": F.datediff,
@@ -473,7 +466,7 @@ MYSQL |= {
     "CONCAT_WS": lambda s, *a: F.concat_ws(s, *a), "DATE_FORMAT": date_format, "ELT": elt, "EXPORT_SET": export_set, "FIELD": field, "FIND_IN_SET": F.find_in_set, "FORMAT": format_number,
     "FORMAT_BYTES": format_bytes, "FROM_DAYS": from_days, "GREATEST": mysql_greatest, "LEAST": mysql_least, "INET_ATON": inet_aton, "INET_NTOA": inet_ntoa, "INSERT": insert_at,
     "INTERVAL": interval_index, "IS_IPV4": lambda x: x.rlike(IPV4), "IS_IPV6": is_ipv6, "IS_UUID": lambda x: x.rlike(UUID), "JSON_KEYS": json_keys,
-    "JSON_MERGE_PATCH": json_merge_patch, "JSON_QUOTE": json_quote, "JSON_UNQUOTE": json_unquote, "LN": lambda x: mysql_log(x), "LOG": mysql_log, "LOG10": lambda x: F.when(x > 0, F.log10(x)),
+    "JSON_MERGE_PATCH": json_udf.json_merge_patch, "JSON_QUOTE": json_quote, "JSON_UNQUOTE": json_unquote, "LN": lambda x: mysql_log(x), "LOG": mysql_log, "LOG10": lambda x: F.when(x > 0, F.log10(x)),
     "LOG2": lambda x: F.when(x > 0, F.log2(x)), "LOCATE": lambda s, x, *at: F.locate(s, x, *at), "MAKEDATE": makedate, "MAKE_SET": make_set, "MATCH": match_against, "MOD": mysql_mod, "OCT": lambda x: F.conv(x, 10, 8),
     "ORD": mysql_ord, "PERIOD_ADD": period_add, "PERIOD_DIFF": period_diff, "QUOTE": mysql_quote, "SEC_TO_TIME": sec_to_time, "SQRT": lambda x: F.when(x >= 0, F.sqrt(x)), "STRCMP": strcmp,
     "STR_TO_DATE": str_to_date, "TIME_TO_SEC": time_to_sec, "TO_DAYS": to_days, "TO_SECONDS": to_seconds, "TRUNCATE": truncate, "UUID_TO_BIN": uuid_to_bin, "WEEK": week_mode0, "YEARWEEK": yearweek,

@@ -53,6 +53,15 @@ def test_known_values(spark, dialect, cases):
     assert wrong == []
 
 
+def test_json_merge_patch_recurses(spark):
+    cases = [
+        ('{"a":{"b":1,"c":2},"d":3}', '{"a":{"b":9,"c":null,"e":{"f":null,"g":1}}}', '{"a":{"b":9,"e":{"g":1}},"d":3}'),
+        ('{"a":[1],"n":null}', '{"a":{"b":1}}', '{"a":{"b":1},"n":null}'), ('{"a":1}', "[2]", "[2]"), ("[1]", '{"a":null,"b":1}', '{"b":1}'), ('{"a":1}', None, None),
+    ]
+    rows = spark.createDataFrame(cases, "a string, b string, want string").coalesce(1)
+    assert [r.got for r in rows.select(fn.lookup("JSON_MERGE_PATCH", "mysql")(F.col("a"), F.col("b")).alias("got")).collect()] == [c[2] for c in cases]
+
+
 def test_lookup():
     with pytest.raises(NotImplementedError):
         fn.lookup("SLEEP")
