@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm._common import distinct_documents, written
 from plumbline.llm._workers import tidied
 
 CAPACITY = 2048
@@ -156,3 +157,16 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     items = docs.select("doc_id", "source", n_words(text).alias("size"), F.xxhash64(F.lower(text)).alias("cluster"))
     return pack(items, capacity, shard_rows)
+
+
+def pack_apart(docs: DataFrame, k: int = 5, percent: int = 80, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """SCHEMA for docs (doc_id, text, source): size in words; documents linked by MinHash of their texts in lower case are a duplicate cluster."""
+    from plumbline.llm.minhash import near_duplicates
+    from plumbline.llm.mixing import n_words
+
+    base, unique = distinct_documents(docs, ("source",))
+    rows = base.select("uid", "doc_id", F.col("_c0").alias("source"), n_words(F.col("text")).alias("size"))
+    one = base if unique else base.dropDuplicates(["uid"])
+    clusters = near_duplicates(one.select("uid", F.lower("text").alias("text")), k, percent).select("uid", F.col("root").alias("cluster"))
+    # written: shards are dealt by the rows' places, which must not change if a task runs again
+    return pack(written(rows.join(clusters, "uid").drop("uid"), "items"), capacity, shard_rows)

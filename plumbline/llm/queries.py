@@ -37,7 +37,7 @@ def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+    return packing.pack_apart(_read(spark, sf_dir, "documents"))
 
 
 @query

@@ -415,6 +415,32 @@ def test_packing_whole(odd, none, documents):
     assert packing.pack_documents(none).collect() == []
 
 
+def test_packing_keeps_near_copies_apart(spark, odd, none):
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        words = ["w%d" % rng.randrange(10**6) for _ in range(60)]
+        rows.append((2 * i, " ".join(words), f"s{2 * i}"))
+        words[-1] = "other"
+        rows.append((2 * i + 1, "\n".join(words).upper(), f"s{2 * i + 1}"))
+    docs = spark.createDataFrame([*rows, (60, None, "s0")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.bin_id for r in packing.pack_apart(docs, capacity=120).collect()}
+    assert len(got) == 61 and got[60] is None
+    assert all(got[2 * i] != got[2 * i + 1] for i in range(30))
+    count = lambda f: collections.Counter((r.doc_id, r.piece, r.start, r.n_words, r.source) for r in f(odd, capacity=100).collect())
+    assert count(packing.pack_apart) == count(packing.pack_documents)
+    assert packing.pack_apart(none).collect() == []
+
+
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    from plumbline.llm.queries import QUERIES
+
+    words = ["w%d" % i for i in range(60)]
+    rows = [(1, " ".join(words), "a"), (2, " ".join([*words[:-1], "other"]), "b"), (3, "\t".join(words), "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r.bin_id for r in QUERIES["op3_best_fit_packing"](spark, str(tmp_path)).collect()}) == 3
+
+
 def test_merkle_audit(spark, none):
     pages = [(i, f"http://h/{i}", "x" * (i % 50)) for i in range(700)] + [(None, None, None), (3, "http://h/3", "xxx")]
     slots = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string"))
