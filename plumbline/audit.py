@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,9 +36,12 @@ def nulls(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNull())
 
 
-def overlaps(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
-    """Rows of half-open ranges that begin before an earlier one of their key has ended (WITHOUT OVERLAPS): one sorted pass, no pairs."""
-    w = Window.partitionBy(*keys).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
+def overlaps(df: DataFrame, keys: list[str], low: str, high: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Rows of half-open ranges that begin before an earlier one of their key has ended (WITHOUT OVERLAPS): one sorted pass, no pairs.
+
+    Of ranges that begin together, the first by `ties` (the least upper bound without them) counts as the earlier one.
+    """
+    w = Window.partitionBy(*keys).orderBy(low, *(ties or [high])).rowsBetween(Window.unboundedPreceding, -1)
     return df.filter(F.col(low) < F.col(high)).withColumn("_reach", F.max(high).over(w)).filter(F.col("_reach") > F.col(low)).drop("_reach")
 
 

@@ -22,7 +22,7 @@ sql("mysql_bits", "SELECT p_partkey, p_size & 6 AS band, p_size | 1 AS bor, p_si
 sql("join_inner", "SELECT o.o_orderkey, c.c_name, n.n_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 150000")
 sql("join_left", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' GROUP BY c.c_custkey")
 sql("join_right", "SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM {orders} WHERE o_orderstatus = 'P') o RIGHT JOIN {customer} c ON o.o_custkey = c.c_custkey")
-sql("join_full_using", "SELECT k, a, b FROM (SELECT c_custkey AS k, c_name AS a FROM {customer} WHERE c_custkey % 2 = 0) x FULL JOIN (SELECT o_custkey AS k, count(*) AS b FROM {orders} GROUP BY o_custkey) y USING (k)")
+sql("join_full_using", "SELECT k, a, b FROM (SELECT c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1000000000 END AS k, c_name AS a FROM {customer}) x FULL JOIN (SELECT o_custkey AS k, count(*) AS b FROM {orders} GROUP BY o_custkey) y USING (k)")
 sql("join_natural", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS rk FROM {nation}) NATURAL JOIN (SELECT r_name, r_regionkey AS rk FROM {region})", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS rk FROM nation) a NATURAL JOIN (SELECT r_name, r_regionkey AS rk FROM region) b")
 sql("join_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n")
 sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")

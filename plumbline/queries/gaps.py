@@ -223,7 +223,7 @@ def range_ops(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT p_brand, p_size AS low, p_size + 2 AS high FROM part), m AS (SELECT *, CASE WHEN low > max(high) OVER w THEN 1 WHEN max(high) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM s WINDOW w AS (PARTITION BY p_brand ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "WITH s AS (SELECT DISTINCT p_brand, p_size AS low, p_size + 2 AS high FROM part), m AS (SELECT *, CASE WHEN low > max(high) OVER w THEN 1 WHEN max(high) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM s WINDOW w AS (PARTITION BY p_brand ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
     "i AS (SELECT *, sum(fresh) OVER (PARTITION BY p_brand ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT p_brand, min(low) AS low, max(high) AS high FROM i GROUP BY p_brand, g"
 )
 def range_agg(spark: SparkSession, d: str) -> DataFrame:
