@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -12,19 +12,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import shared_dir
+
 
 class _Turns:
     """The rows of each turn as a directory of one table: the next turn's plan reads two paths, however many turns there were, and a lost executor costs one turn at most."""
 
     def __init__(self, spark: SparkSession, schema: T.StructType) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            option = spark.sparkContext._jsc.sc().getCheckpointDir()
-            if option.isEmpty():
-                spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-                option = spark.sparkContext._jsc.sc().getCheckpointDir()
-            base = option.get()
-        self.spark, self.schema, self.root, self.turn = spark, schema, f"{base}/recursive-{uuid.uuid4().hex}", 0
+        self.spark, self.schema, self.root, self.turn = spark, schema, f"{shared_dir(spark)}/recursive-{uuid.uuid4().hex}", 0
 
     def add(self, df: DataFrame) -> tuple[DataFrame, int]:
         """Writes a turn; its rows and their number, counted while they are written."""
@@ -38,6 +33,35 @@ class _Turns:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/_turn={i}" for i in range(self.turn)])
 
 
+_NAMED = re.compile(r"(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)(\w+)\s*(?:\([^()]*\)\s*)?AS\s+(?:(?:NOT\s+)?MATERIALIZED\s+)?\(", re.I)
+
+
+class MutualRecursion(ValueError):
+    pass
+
+
+def check_mutual(text: str) -> None:
+    """Raises MutualRecursion if common table expressions of a WITH RECURSIVE refer to each other in a circle; one that refers to itself is fine."""
+    bodies: dict[str, str] = {}
+    for m in _NAMED.finditer(text):
+        depth, at = 1, m.end()
+        while at < len(text) and depth:
+            depth += (text[at] == "(") - (text[at] == ")")
+            at += 1
+        bodies[m[1].lower()] = re.sub(r"'(?:[^']|'')*'", "''", text[m.end() : at])
+    refers = {n: {o for o in bodies if o != n and re.search(rf"\b{re.escape(o)}\b", b, re.I)} for n, b in bodies.items()}
+
+    def reach(name: str, seen: tuple[str, ...]) -> None:
+        for other in refers[name]:
+            if other == seen[0]:
+                raise MutualRecursion(" -> ".join((*seen, other)))
+            if other not in seen:
+                reach(other, (*seen, other))
+
+    for name in bodies:
+        reach(name, (name,))
+
+
 def recursive_union(base: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
     """WITH RECURSIVE r AS (base UNION step(r)): semi-naive, each turn joins only the rows that the last one found; ends when none are new."""
     first = base.distinct()

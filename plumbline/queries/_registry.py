@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.session import table
+from plumbline.session import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +29,11 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
     ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", r"\1", oracle or text)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
+
+
 def query(oracle: str | None = None) -> Callable:
     """A query built with DataFrames, and its SQL."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import audit, migrate
 from plumbline.catalog import TPCH, Catalog, parse
 from plumbline.plans import facts, failures
-from plumbline.queries._registry import query
+from plumbline.queries._registry import query, scratch
 from plumbline.session import table
 from plumbline.sources import tables as sources
 from plumbline.statement import Session, one
@@ -90,10 +90,10 @@ def audit_transitions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "old", "new")
 
 
-@query("SELECT p_partkey FROM (SELECT p_partkey, p_size, max(p_size + 3) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM part WHERE p_partkey % 20 = 0) WHERE reach > p_size")
+@query("SELECT p_partkey FROM (SELECT p_partkey, p_size, max(p_size + 3) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM part) WHERE reach > p_size")
 def audit_overlap(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "part").filter("p_partkey % 20 = 0").select("p_partkey", "p_brand", "p_size", (F.col("p_size") + 3 + F.col("p_partkey") / 1e12).alias("high"))
-    return audit.overlaps(t, ["p_brand"], "p_size", "high").select("p_partkey")
+    t = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", (F.col("p_size") + 3).alias("high"))
+    return audit.overlaps(t, ["p_brand"], "p_size", "high", ["p_partkey"]).select("p_partkey")
 
 
 @query(
@@ -157,12 +157,8 @@ def copy_append(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
 def matview_refresh(spark: SparkSession, d: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
     body = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    return sources.refresh(spark, body, f"{base}/matview-{uuid.uuid4().hex}", 1)
+    return sources.refresh(spark, body, scratch(spark, "matview"), 1)
 
 
 @query("SELECT 'c_custkey' AS name, 'bigint' AS type, false AS nullable, 'customer.c_custkey' AS source UNION ALL SELECT 'seg', 'string', true, 'customer.c_mktsegment' UNION ALL SELECT 'o_totalprice', 'double', true, 'orders.o_totalprice'")
