@@ -25,21 +25,20 @@ def read(spark: SparkSession, directory: str, like: DataFrame, files_a_trigger:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_a_trigger).parquet(directory)
 
 
-def upsert_stream(stream: DataFrame, root: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """A stream merged into a versioned table: each batch is one commit, numbered by the batch, so a batch that is run again changes nothing."""
+def upsert_stream(stream: DataFrame, root: str, keys: list[str], checkpoint: str, order: list[str]) -> StreamingQuery:
+    """A stream merged into a versioned table: of a batch's rows with one key, the last by `order` is taken (ties by all columns).
+
+    Each batch is one commit, numbered by the batch, so a batch that is run again changes nothing.
+    """
     from plumbline.operators import dml
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates(keys)
-        try:
+        at = [F.col(c) for c in order]
+        if dml.committed(spark, root):
             held = dml.current(spark, root)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            dml.commit(spark, latest, root, number)
-            return
-        update = {c: F.col(f"excluded_{c}") for c in held.columns if c not in keys}
-        dml.commit(spark, dml.upsert(held, latest, keys, update or None).table, root, number)
+        else:
+            held = batch.limit(0)
+        dml.commit(spark, dml.replace_into(held, batch, keys, at).table, root, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

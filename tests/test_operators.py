@@ -178,3 +178,98 @@ def test_recursive_union_with_nulls(spark):
     base = spark.createDataFrame([(1, None)], "a int, b int")
     got = recursive.recursive_union(base, lambda r: r.select(F.least(F.col("a") + 1, F.lit(3)), F.col("b")))
     assert sorted(r.a for r in got.collect()) == [1, 2, 3]
+
+
+def test_upsert_of_doubled_keys(spark):
+    t = spark.createDataFrame([(1, 1, "a"), (None, 5, "n")], SCHEMA)
+    new = spark.createDataFrame([(1, 2, "b"), (1, 3, "c"), (2, 4, "e"), (2, 4, "d"), (None, 6, "m"), (None, 6, "m")], SCHEMA)
+    with pytest.raises(dml.WriteConflict):
+        dml.upsert(t, new, ["k"], {"v": F.col("excluded_v")})
+    show = lambda w: sorted(map(str, map(tuple, w.table.collect())))
+    nulls = [(None, 5, "n"), (None, 6, "m"), (None, 6, "m")]
+    told = lambda *r: sorted(map(str, [*r, *nulls]))
+    assert show(dml.upsert(t, new, ["k"])) == told((1, 1, "a"), (2, 4, "d"))
+    assert show(dml.insert_ignore(t, new, ["k"], [-F.ascii("s")])) == told((1, 1, "a"), (2, 4, "e"))
+    w = dml.replace_into(t, new, ["k"], [F.col("v"), F.col("s")])
+    assert show(w) == told((1, 3, "c"), (2, 4, "e"))
+    assert sorted(r._action for r in w.returning.collect()) == ["INSERT", "INSERT", "INSERT", "REPLACE"]
+    step = {"v": lambda row, n: row["v"] * 10 + n["v"], "s": lambda row, n: F.concat(row["s"], n["s"])}
+    assert show(dml.on_duplicate_key(t, new, ["k"], step, [F.col("s")])) == told((1, 123, "abc"), (2, 44, "de"))
+    empty = new.limit(0)
+    assert show(dml.on_duplicate_key(t, empty, ["k"], step, [F.col("s")])) == sorted(map(str, [(1, 1, "a"), (None, 5, "n")]))
+    assert show(dml.on_duplicate_key(empty, new.limit(0), ["k"], step, [])) == []
+
+
+def test_commit_can_be_run_again(spark, tmp_path):
+    root = str(tmp_path / "t")
+    dml.commit(spark, spark.range(3), root, 1)
+    dml.commit(spark, spark.range(9), root, 1)
+    assert dml.current(spark, root).count() == 3
+    spark.range(4).write.parquet(f"{root}/v00000002")  # what an attempt left that ended before its commit
+    dml.commit(spark, spark.range(5), root, 2)
+    assert dml.current(spark, root).count() == 5
+    with pytest.raises(dml.WriteConflict):
+        dml.create_table_as(spark, spark.range(2), root)
+    assert dml.create_table_as(spark, spark.range(2), root, if_not_exists=True).count() == 5
+    assert dml.create_table_as(spark, spark.range(2), str(tmp_path / "u"), with_data=False).count() == 0
+
+
+def test_assignments(spark):
+    from plumbline.catalog import parse
+
+    declared = parse("CREATE TYPE mood AS ENUM ('ok', 'sad'); CREATE TABLE t (k int PRIMARY KEY, m mood, s varchar(3))")["t"]
+    rows = lambda *r: dml.coerced(declared, spark.createDataFrame(list(r), "k string, m string, s string"))
+    assert [tuple(r) for r in rows(("1", "ok", "abc  "), ("2", None, None)).collect()] == [(1, "ok", "abc"), (2, None, None)]
+    for bad in (("1", "glad", "a"), ("1", "ok", "abcd"), ("x", "ok", "a")):
+        with pytest.raises(Exception, match="no label|too long|CAST_INVALID"):
+            rows(bad).collect()
+    with pytest.raises(dml.WriteConflict):
+        dml.generated(spark.createDataFrame([(1, 2)], "a int, b int"), {"b": F.col("a") + 1})
+    t = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], SCHEMA)
+    source = spark.createDataFrame([(1, 7, "z")], "sk int, x int, y string")
+    assert sorted(map(tuple, dml.update_row(t, ["v", "s"], source, ["x", "y"], {"k": "sk"}).table.collect()), key=str) == [(1, 7, "z"), (2, None, None)]
+    child = spark.createDataFrame([(10, 1), (11, 2)], "c int, p int")
+    moved = spark.createDataFrame([(1, 5), (2, 2)], "old int, new int")
+    assert {tuple(r) for r in dml.cascade_update(moved, "old", "new", [(child, "p", "CASCADE")])[0].table.collect()} == {(10, 5), (11, 2)}
+    assert {tuple(r) for r in dml.cascade_update(moved, "old", "new", [(child, "p", "SET NULL")])[0].table.collect()} == {(10, None), (11, 2)}
+    with pytest.raises(dml.WriteConflict):
+        dml.cascade_update(moved, "old", "new", [(child, "p", "RESTRICT")])
+
+
+def test_overlap_join_with_infinite_and_very_long_ranges(spark):
+    rng = random.Random(3)
+    end = lambda: rng.choice([None, rng.uniform(-1e6, 1e6), rng.uniform(0, 10)])
+    make = lambda n: [(i, *((a, b) if a is None or b is None else sorted((a, b)))) for i, a, b in ((i, end(), end()) for i in range(n))]
+    a, b = make(60), make(60)
+    low, high = lambda x: -1e18 if x is None else x, lambda x: 1e18 if x is None else x
+    want = sorted((i, j) for i, al, ah in a for j, bl, bh in b if low(al) < high(bh) and low(bl) < high(ah))
+    left, right = spark.createDataFrame(a, "i int, al double, ah double"), spark.createDataFrame(b, "j int, bl double, bh double")
+    assert sorted((r.i, r.j) for r in ranges.overlap_join(left, right, "al", "ah", "bl", "bh", 0.5).collect()) == want
+    points = [(i, rng.uniform(-20, 20)) for i in range(50)]
+    want = sorted((i, j) for i, x in points for j, bl, bh in b if low(bl) <= x < high(bh))
+    got = ranges.point_join(spark.createDataFrame(points, "i int, x double"), right, "x", "bl", "bh", 0.5)
+    assert sorted((r.i, r.j) for r in got.collect()) == want
+    assert ranges.overlap_join(left.limit(0), right, "al", "ah", "bl", "bh", 0.5).count() == 0
+
+
+def test_range_algebra(spark):
+    r = lambda a, b, e="[)": ranges.make(F.lit(a).cast("int"), F.lit(b).cast("int"), e)
+    show = ranges.as_text
+    assert values(
+        spark, show(ranges.merge(r(1, 3), r(5, 9, "[]"))), show(ranges.merge(r(None, 3), r(5, 9))), show(ranges.merge(r(2, 2), r(5, 9))), show(ranges.minus(r(1, 9), r(5, 20))), show(ranges.minus(r(1, 9), r(0, 5, "[]"))), show(ranges.minus(r(1, 9), r(0, 9))),
+        show(ranges.minus(r(1, 3), r(5, 9))), show(ranges.canonical(r(1, 3, "(]"))), show(ranges.canonical(r(1, 2, "()"))), show(r(None, None, "[]")), ranges.right_bounded(r(1, 3), r(2, None)), ranges.right_bounded(r(1, None), r(2, 9)), ranges.left_bounded(r(None, 3), r(2, 9)),
+        F.to_json(F.transform(ranges.multirange(F.array(r(5, 7), r(1, 2), r(2, 4), r(6, 9), r(3, 3))), show)),
+    ) == ["[1,9]", "(,9)", "[5,9)", "[1,5)", "(5,9)", "empty", "[1,3)", "[2,4)", "empty", "(,)", "true", "false", "false", '["[1,4)","[5,9)"]']
+    with pytest.raises(Exception, match="one range"):
+        spark.range(1).select(ranges.minus(r(1, 9), r(3, 5))).collect()
+
+
+def test_distinct_on_and_distinct_sums_with_nulls(spark):
+    from pyspark.sql import Window
+
+    from plumbline.operators import windows
+
+    df = spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (2, None, "c")], "k int, v int, s string")
+    assert sorted(r.s for r in rows.distinct_on(df, ["k"], [F.col("v")]).collect()) == ["b", "c"]
+    w = Window.partitionBy("k")
+    assert {(r.k, r.t) for r in df.select("k", windows.sum_distinct_over(F.col("v"), w, "bigint").alias("t")).collect()} == {(1, 2), (2, None)}
