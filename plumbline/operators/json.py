@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import json_udf
+
+
+def _scalar(v: Column, path: str, returning: str, on_empty: object, on_error: object) -> Column:
+    """JSON_VALUE at a path of a variant: on_empty where the path is missing, null for JSON's null, on_error for an object, an array or what can't be cast."""
+    found = F.try_variant_get(v, path, "variant")
+    kind = F.schema_of_variant(found)
+    value = F.try_variant_get(found, "$", returning)
+    failed = kind.startswith("OBJECT") | kind.startswith("ARRAY") | ((kind != "VOID") & value.isNull())
+    return F.when(found.isNull(), F.lit(on_empty).cast(returning)).when(failed, F.lit(on_error).cast(returning)).otherwise(value)
+
 
 def json_value(doc: Column, path: str, returning: str = "string", on_empty: object = None, on_error: object = None) -> Column:
-    """The scalar at a path, cast leniently; on_empty where the path is missing, on_error where the value isn't of the type or the text isn't JSON."""
-    text = F.get_json_object(doc, path)
-    bad = doc.isNotNull() & F.try_parse_json(doc).isNull()
-    value = text if returning == "string" else text.try_cast(returning)
-    scalar = ~F.coalesce(text.startswith("{") | text.startswith("["), F.lit(False))
-    failed = bad | ~scalar | (text.isNotNull() & value.isNull())
-    return F.when(doc.isNull(), F.lit(None).cast(returning)).when(failed, F.lit(on_error).cast(returning)).when(text.isNull(), F.lit(on_empty).cast(returning)).otherwise(value)
+    """The scalar at a path, cast leniently; on_empty where the path is missing, on_error where the value isn't of the type or the text isn't JSON. JSON's null is null."""
+    parsed = F.try_parse_json(doc)
+    missing = F.lit(None).cast(returning)
+    return F.when(doc.isNull(), missing).when(parsed.isNull(), F.lit(on_error).cast(returning)).otherwise(_scalar(parsed, path, returning, on_empty, on_error))
 
 
 def json_query(doc: Column, path: str, wrapper: bool = False) -> Column:
     """The object or array at a path as JSON text; with `wrapper`, scalars come as an array of one."""
-    text = F.get_json_object(doc, path)
-    composite = text.startswith("{") | text.startswith("[")
-    quoted = F.when(text.try_cast("double").isNotNull() | text.isin("true", "false", "null"), text).otherwise(F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2))
-    return F.when(composite, text).when(F.lit(wrapper) & text.isNotNull(), F.concat(F.lit("["), quoted, F.lit("]")))
+    found = F.try_variant_get(F.try_parse_json(doc), path, "variant")
+    kind = F.schema_of_variant(found)
+    composite = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    return F.when(composite, F.get_json_object(doc, path)).when(F.lit(wrapper) & found.isNotNull(), F.concat(F.lit("["), F.to_json(found), F.lit("]")))
 
 
 def json_exists(doc: Column, path: str) -> Column:
@@ -50,49 +60,115 @@ def json_array(values: list[Column], absent_on_null: bool = False) -> Column:
 
 @dataclass(frozen=True)
 class Path:
-    """A JSON_TABLE column: name, type and path below the row; exists: whether the path is there; default: for a missing value."""
+    """A JSON_TABLE column: name, type and path below the row; exists: whether the path is there; default ON EMPTY, on_error ON ERROR."""
 
     name: str
     type: str
     path: str
     exists: bool = False
     default: object = None
+    on_error: object = None
 
 
 @dataclass(frozen=True)
 class Nested:
-    """NESTED PATH: rows of an array below the row, outer-joined to it."""
+    """NESTED PATH: rows of an array below the row, outer-joined to it; with paths nested in it."""
 
     array: str
     columns: list[Path] = field(default_factory=list)
     ordinality: str | None = None
+    nested: list[Nested] = field(default_factory=list)
+
+
+def _elements(v: Column, path: str) -> Column:
+    """The elements of the array at a path of a variant."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def _taken(v: Column, c: Path) -> Column:
+    if c.exists:
+        return F.when(v.isNotNull(), F.try_variant_get(v, c.path, "variant").isNotNull()).alias(c.name)
+    return F.when(v.isNotNull(), _scalar(v, c.path, c.type, c.default, c.on_error)).alias(c.name)
+
+
+def _numbered(k: int) -> Callable[[Column, Column], Column]:
+    return lambda x, i: F.struct(F.lit(k).alias("which"), (i + 1).cast("long").alias("at"), x.alias("item"))
+
+
+def _nest(df: DataFrame, source: str, nested: list[Nested], depth: int) -> DataFrame:
+    """df with the columns of the paths nested in the variant `source`. Siblings don't multiply: each has rows of its own."""
+    if not nested:
+        return df.drop(source)
+    item, which = f"_item{depth}", f"_which{depth}"
+    kind = "array<struct<which:int,at:bigint,item:variant>>"
+    rows = [F.coalesce(F.transform(_elements(F.col(source), n.array), _numbered(k)), F.array().cast(kind)) for k, n in enumerate(nested)]
+    out = df.select(*[c for c in df.columns if c != source], F.explode_outer(F.concat(*rows)).alias(which))
+    for k, n in enumerate(nested):
+        own = F.coalesce(F.col(f"{which}.which") == k, F.lit(False))
+        value = F.when(own, F.col(f"{which}.item"))
+        number = [F.when(own, F.col(f"{which}.at")).alias(n.ordinality)] if n.ordinality else []
+        out = out.select("*", *number, value.alias(f"{item}_{k}"))
+        out = out.select("*", *[_taken(F.col(f"{item}_{k}"), c) for c in n.columns])
+    out = out.drop(which)
+    for k, n in enumerate(nested):
+        out = _nest(out, f"{item}_{k}", n.nested, depth + 1 + k * 8)
+    return out
+
+
+def json_table(df: DataFrame, doc: Column, rows: str, columns: list[Path], ordinality: str | None = None, nested: Nested | list[Nested] | None = None) -> DataFrame:
+    """df joined laterally with the rows of the array at `rows`. The document is parsed once."""
+    out = df.select("*", F.posexplode(_elements(F.try_parse_json(doc), rows)).alias("_i", "_row"))
+    out = out.select(*df.columns, "_row", *([(F.col("_i") + 1).cast("long").alias(ordinality)] if ordinality else []), *[_taken(F.col("_row"), c) for c in columns])
+    return _nest(out, "_row", [nested] if isinstance(nested, Nested) else nested or [], 0)
+
+
+def contains(a: Column, b: Column) -> Column:
+    """jsonb's a @> b, at every depth."""
+    return json_udf.json_contains(a, b)
+
+
+def extract_path(doc: Column, *steps: str | int) -> Column:
+    """json #> path as JSON text; keys and indexes from 0."""
+    path = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
+    return F.to_json(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
+
+
+def extract_path_text(doc: Column, *steps: str | int) -> Column:
+    """json #>> path: strings without quotes, JSON's null as null, the rest as JSON text."""
+    path = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
+    found = F.try_variant_get(F.try_parse_json(doc), path, "variant")
+    kind = F.schema_of_variant(found)
+    return F.when(kind == "STRING", F.try_variant_get(found, "$", "string")).when(kind != "VOID", F.to_json(found))
+
+
+def has_key(doc: Column, key: str) -> Column:
+    """jsonb ? key: a top-level key, or a string element of a top-level array."""
+    v = F.try_parse_json(doc)
+    kind = F.schema_of_variant(v)
+    strings = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    held = F.exists(strings, lambda x: F.try_variant_get(x, "$", "string") == key)
+    return F.when(v.isNotNull(), F.when(kind.startswith("OBJECT"), F.coalesce(F.array_contains(F.json_object_keys(doc), key), F.lit(False))).when(kind.startswith("ARRAY"), held).otherwise(F.lit(False)))
 
 
-def _elements(doc: Column, path: str) -> Column:
-    """The elements of the array at a path as JSON texts."""
-    found = F.try_variant_get(F.try_parse_json(doc), path, "array<variant>")
-    return F.transform(found, lambda v: F.to_json(v))
+def has_any_key(doc: Column, keys: list[str]) -> Column:
+    """jsonb ?| keys."""
+    return reduce(lambda a, b: a | b, (has_key(doc, k) for k in keys))
 
 
-def json_table(df: DataFrame, doc: Column, rows: str, columns: list[Path], ordinality: str | None = None, nested: Nested | None = None) -> DataFrame:
-    """df joined laterally with the rows of the array at `rows`."""
+def has_all_keys(doc: Column, keys: list[str]) -> Column:
+    """jsonb ?& keys."""
+    return reduce(lambda a, b: a & b, (has_key(doc, k) for k in keys))
 
-    def taken(source: Column, c: Path) -> Column:
-        return json_exists(source, c.path).alias(c.name) if c.exists else json_value(source, c.path, c.type, c.default).alias(c.name)
 
-    out = df.select("*", F.posexplode(_elements(doc, rows)).alias("_i", "_row"))
-    out = out.select(*df.columns, "_row", *([(F.col("_i") + 1).cast("long").alias(ordinality)] if ordinality else []), *[taken(F.col("_row"), c) for c in columns])
-    if nested:
-        kept = [c for c in out.columns if c != "_row"]
-        out = out.select(*kept, F.posexplode_outer(_elements(F.col("_row"), nested.array)).alias("_i", "_item"))
-        out = out.select(*kept, *([(F.col("_i") + 1).cast("long").alias(nested.ordinality)] if nested.ordinality else []), *[taken(F.col("_item"), c) for c in nested.columns])
-    return out.drop("_row")
+def delete_path(doc: Column, path: str) -> Column:
+    """jsonb #- path (a path of the form $.a[0])."""
+    return json_udf.json_remove(doc, path)
 
 
-def contains(a: dict | Column, b: Column) -> Column:
-    """Whether flat JSON object a has every key and value of flat object b (jsonb's @>)."""
-    left, right = (F.from_json(x, "map<string,string>") for x in (a, b))
-    return F.forall(F.map_entries(right), lambda e: F.coalesce(left[e["key"]] == e["value"], F.lit(False)))
+def to_record(doc: Column, fields: dict[str, str]) -> Column:
+    """jsonb_to_record(doc) AS (fields): a struct of the named members, cast; what is missing or can't be cast is null."""
+    v = F.try_parse_json(doc)
+    return F.struct(*[F.try_variant_get(v, f"$['{name}']", kind).alias(name) for name, kind in fields.items()])
 
 
 def each_text(df: DataFrame, doc: Column) -> DataFrame:

@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 _COMPARE = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 
+def enum_rank(x: Column, labels: Sequence[str]) -> Column:
+    """The place of an enum's value in the order of its declaration, from 1: what ORDER BY, < and MIN go by. Null for null and for no label."""
+    place = F.array_position(F.array(*map(F.lit, labels)), x)
+    return F.when(place > 0, place)
+
+
+def enum_range(labels: Sequence[str], first: str | None = None, last: str | None = None) -> Column:
+    """enum_range(first, last): the labels between the two in their order; all without bounds."""
+    a = labels.index(first) if first is not None else 0
+    b = labels.index(last) + 1 if last is not None else len(labels)
+    return F.array(*map(F.lit, labels[a:b])) if labels[a:b] else F.array().cast("array<string>")
+
+
 def between_symmetric(x: Column, a: Column, b: Column) -> Column:
     """x between the smaller and the larger of a and b; null if any of the three is."""
     either = x.between(a, b) | x.between(b, a)

@@ -16,10 +16,11 @@ def _cols(names: Sequence[Column | str]) -> list[Column]:
 def distinct_on(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the order. An aggregate, not a window: tasks keep one row a key before the exchange, so a hot key doesn't gather.
 
-    The order is ascending, by columns that can be compared; negate numbers for a descending one.
+    The order is ascending, nulls last, by columns that can be compared; negate numbers for a descending one.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    best = df.groupBy(*_cols(keys)).agg(F.min_by(row, F.struct(*order)).alias("_row"))
+    ranks = F.struct(*[F.struct(o.isNull(), o) for o in order])
+    best = df.groupBy(*_cols(keys)).agg(F.min_by(row, ranks).alias("_row"))
     return best.select("_row.*")
 
 
