@@ -72,6 +72,13 @@ def compare(old: Catalog, new: Catalog, intents: Intents | None = None) -> list[
     return drops + renamed + alters + adds
 
 
+def alphabet() -> list[tuple[str, str, str]]:
+    """(op, kind, field) of every change that `compare` can tell: what tests must cover."""
+    kinds = {"table": (), "column": ("type", "nullable", "default", "labels", "unit"), "key": ("columns", "primary", "where"), "foreign key": ("columns", "parent", "on delete"), "check": ("predicate",)}
+    out = [(op, kind, "") for kind in kinds for op in ("add", "drop")] + [("rename", "column", "")]
+    return out + [("alter", kind, f) for kind, fields in kinds.items() for f in fields]
+
+
 def changes_frame(spark: SparkSession, changes: list[Change]) -> DataFrame:
     return spark.createDataFrame([(c.op, c.kind, c.name, c.field, c.before, c.after) for c in changes], "op string, kind string, name string, field string, before string, after string")
 

@@ -151,6 +151,23 @@ class Query(Generic[R, P]):
         return out
 
 
+def verify(spark: SparkSession, tables: dict[str, DataFrame], statements: dict[str, Query], samples: dict[str, dict[str, Any]] | None = None) -> list[tuple[str, str]]:
+    """(name, problem) of declared statements: each expansion is analyzed and then run over empty tables, so that what only execution tells comes out too."""
+    empty = {n: df.limit(0) for n, df in tables.items()}
+    out = []
+    for name, q in statements.items():
+        sample = (samples or {}).get(name)
+        problems = q.check(spark, empty, sample)
+        out += [(name, p) for p in problems]
+        for e in q.expansions() if not problems else []:
+            args = {f"p{i}": (sample or {}).get(n.lstrip(".")) for i, n in enumerate(e.parameters, 1)}
+            try:
+                spark.sql(e.sql, args, **empty).collect()
+            except Exception as x:
+                out.append((name, f"{type(x).__name__}: {str(x).splitlines()[0]}"))
+    return out
+
+
 def query(row: type, template: str) -> Query:
     return Query(row, template)
 

@@ -21,7 +21,9 @@ def test_expansions():
     assert len(template.expand("{{if .a}}A{{end}}{{if .a}}B{{end}}")) == 2
     assert {e.sql for e in template.expand("f({{range .xs}}{{.}},{{end}})")} == {"f()", "f(:p1,)", "f(:p1,:p2,)"}
     many = "".join(f"{{{{if .c{i}}}}}X{i}{{{{end}}}}" for i in range(9))
-    assert len(template.expand(many)) == 10
+    found = template.expand(many)
+    assert len(found) == 11 and all(e.sparse for e in found)
+    assert {"", "X0", "".join(f"X{i}" for i in range(9))} <= {e.sql for e in found}
 
 
 def test_render_binds_and_guards():
@@ -209,7 +211,7 @@ def test_streams(spark, sf, tmp_path):
     want = sorted(map(tuple, streams.tumbling(events, "1 day", ["event_type"]).select("start", "event_type", "n").collect()))
     assert sorted(map(tuple, spark.sql("SELECT start, event_type, n FROM days").collect())) == want
     root = str(tmp_path / "state")
-    streams.upsert_stream(streams.read(spark, src, events, 2), root, ["event_id"], str(tmp_path / "cp")).awaitTermination(120)
+    streams.upsert_stream(streams.read(spark, src, events, 2), root, ["event_id"], str(tmp_path / "cp"), ["ts"]).awaitTermination(120)
     from plumbline.operators import dml
 
     assert dml.current(spark, root).count() == events.count()
