@@ -18,6 +18,12 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def collect(p: Column, *order: Column) -> Column:
+    """ST_Collect: a group's points as one array, nulls left out, in the order of `order` (x, then y, without it)."""
+    keys = [o.alias(f"k{i}") for i, o in enumerate(order)] or [p["x"].alias("k0"), p["y"].alias("k1")]
+    return F.transform(F.array_sort(F.collect_list(F.when(p.isNotNull(), F.struct(*keys, p.alias("p"))))), lambda s: s["p"])
+
+
 def line(*points: Column) -> Column:
     return F.array(*points)
 
@@ -125,12 +131,12 @@ def _number(v: Column) -> Column:
 
 
 def as_text(path: Column, kind: str) -> Column:
-    """WKT of a point, LINESTRING or POLYGON."""
+    """WKT of a POINT, LINESTRING, MULTIPOINT or POLYGON."""
     pair = lambda p: F.concat_ws(" ", _number(p["x"]), _number(p["y"]))
     if kind == "POINT":
         return F.concat(F.lit("POINT("), pair(path), F.lit(")"))
     inner = F.array_join(F.transform(path, pair), ",")
-    return F.concat(F.lit("LINESTRING("), inner, F.lit(")")) if kind == "LINESTRING" else F.concat(F.lit("POLYGON(("), inner, F.lit("))"))
+    return F.concat(F.lit(f"{kind}("), inner, F.lit(")")) if kind in ("LINESTRING", "MULTIPOINT") else F.concat(F.lit("POLYGON(("), inner, F.lit("))"))
 
 
 def from_text(wkt: Column) -> Column:

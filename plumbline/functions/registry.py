@@ -254,6 +254,92 @@ def time_to_sec(t: Column) -> Column:
     return F.when(t.startswith("-"), -seconds).otherwise(seconds)
 
 
+#: MySQL's longest TIME in microseconds (a fixed value): 838:59:59.
+_LONGEST_TIME = 3_020_399_000_000
+_TIME = r"^(-?)(?:(\d+) )?(\d+):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6}))?)?$"
+
+
+def time_micros(t: Column) -> Column:
+    """[-][D ]H:MM[:SS[.ffffff]] in microseconds; null for other text."""
+    part = lambda i: F.coalesce(F.regexp_extract(t, _TIME, i).try_cast("long"), F.lit(0))
+    fraction = F.rpad(F.regexp_extract(t, _TIME, 6), 6, "0").try_cast("long")
+    size = ((part(2) * 24 + part(3)) * 3600 + part(4) * 60 + part(5)) * 1_000_000 + F.coalesce(fraction, F.lit(0))
+    sign = F.when(F.regexp_extract(t, _TIME, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    return F.when(t.rlike(_TIME) & (part(4) < 60) & (part(5) < 60), F.least(size, F.lit(_LONGEST_TIME)) * sign)
+
+
+def time_text(micros: Column) -> Column:
+    """[-]HH:MM:SS[.ffffff], cut off at 838:59:59."""
+    n = F.least(F.abs(micros), F.lit(_LONGEST_TIME))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    seconds, fraction = F.floor(n / 1_000_000), n % 1_000_000
+    hours = F.floor(seconds / 3600)
+    text = F.concat(F.when(micros < 0, "-").otherwise(""), F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), F.lit(":"), two(F.floor(seconds / 60) % 60), F.lit(":"), two(seconds % 60))
+    whole = F.when(fraction > 0, F.concat(text, F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))).otherwise(text)
+    return F.when(micros.isNotNull(), whole)
+
+
+def _moment_text(ts: Column) -> Column:
+    whole = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    fraction = F.date_format(ts, "SSSSSS")
+    return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
+
+
+def _add_micros(x: Column, micros: Column) -> Column:
+    """x, a date and time or a time, moved on; as text."""
+    moment = F.try_to_timestamp(x.cast("string"))
+    moved = F.timestamp_micros(F.unix_micros(moment) + micros)
+    dated = x.cast("string").rlike(r"^\d{4}-\d{1,2}-\d{1,2}")
+    return F.when(dated, _moment_text(moved)).otherwise(time_text(time_micros(x.cast("string")) + micros))
+
+
+def addtime(x: Column, t: Column) -> Column:
+    """ADDTIME: t, a time, added to a time or a date and time."""
+    return _add_micros(x, time_micros(t.cast("string")))
+
+
+def subtime(x: Column, t: Column) -> Column:
+    return _add_micros(x, -time_micros(t.cast("string")))
+
+
+def timediff(a: Column, b: Column) -> Column:
+    """TIMEDIFF: a - b of two times, or of two dates with times; null for one of each."""
+    dated = lambda x: x.cast("string").rlike(r"^\d{4}-\d{1,2}-\d{1,2}")
+    moment = lambda x: F.unix_micros(F.try_to_timestamp(x.cast("string")))
+    times = time_micros(a.cast("string")) - time_micros(b.cast("string"))
+    return time_text(F.when(dated(a) & dated(b), moment(a) - moment(b)).when(~dated(a) & ~dated(b), times))
+
+
+def maketime(h: Column, m: Column, s: Column) -> Column:
+    """MAKETIME: null for minutes or seconds beyond 59."""
+    seconds = F.round(s.cast("double") * 1_000_000).cast("long")
+    size = (F.abs(h.cast("long")) * 3600 + m.cast("long") * 60) * 1_000_000 + seconds
+    return F.when(m.between(0, 59) & (s >= 0) & (s < 60), time_text(F.when(h < 0, -size).otherwise(size)))
+
+
+def time_format(t: Column, pattern: str) -> Column:
+    """TIME_FORMAT: hours beyond 23 for %H and %k too; raises for letters of dates."""
+    micros = time_micros(t.cast("string"))
+    n = F.floor(F.abs(micros) / 1_000_000)
+    hours, minutes, seconds = F.floor(n / 3600), F.floor(n / 60) % 60, n % 60
+    two = lambda x: F.when(x < 100, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+    twelve = (hours + 11) % 12 + 1
+    half = F.when(hours % 24 < 12, "AM").otherwise("PM")
+    colon = F.lit(":")
+    letters = {
+        "H": two(hours), "k": hours.cast("string"), "h": two(twelve), "I": two(twelve), "l": twelve.cast("string"), "i": two(minutes), "s": two(seconds), "S": two(seconds), "p": half,
+        "f": F.lpad((F.abs(micros) % 1_000_000).cast("string"), 6, "0"), "T": F.concat(two(hours), colon, two(minutes), colon, two(seconds)), "r": F.concat(two(twelve), colon, two(minutes), colon, two(seconds), F.lit(" "), half),
+    }
+    parts, at = [F.when(micros < 0, "-").otherwise("")], 0
+    while at < len(pattern):
+        letter = pattern[at + 1 : at + 2] if pattern[at] == "%" else ""
+        if letter and letter.isalpha() and letter not in letters:
+            raise ValueError(f"no time in %{letter}")
+        parts.append(letters[letter] if letter in letters else F.lit(letter or pattern[at]))
+        at += 2 if letter else 1
+    return F.when(micros.isNotNull(), F.concat(*parts))
+
+
 #: MySQL's format letters and Spark's (fixed values).
 DATE_LETTERS = {
     "Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "k": "H", "h": "hh", "I": "hh", "l": "h", "i": "mm", "s": "ss", "S": "ss",
@@ -354,6 +440,79 @@ def isbn13_ok(x: Column) -> Column:
     return F.coalesce(digits.rlike("^[0-9]{13}$") & (total % 10 == 0), F.lit(False))
 
 
+# arrays
+
+
+def array_ndims(a: Column, depth: int = 1) -> Column:
+    """Dimensions of an array nested `depth` deep; null for an empty one."""
+    return F.when(F.size(a) > 0, F.lit(depth))
+
+
+def array_upper(a: Column, dimension: int = 1) -> Column:
+    """The last subscript of a dimension, arrays being numbered from 1; null for an empty array."""
+    inner = a
+    for _ in range(dimension - 1):
+        inner = F.try_element_at(inner, F.lit(1))
+    return F.when(F.size(a) > 0, F.size(inner))
+
+
+def array_lower(a: Column, dimension: int = 1) -> Column:
+    return F.when(array_upper(a, dimension) > 0, F.lit(1))
+
+
+def array_dims(a: Column, depth: int = 1) -> Column:
+    """The text form of the bounds: [1:3], [1:2][1:3] ..."""
+    return F.when(F.size(a) > 0, F.concat(*[F.concat(F.lit("[1:"), array_upper(a, d).cast("string"), F.lit("]")) for d in range(1, depth + 1)]))
+
+
+def array_fill(value: Column, n: Column) -> Column:
+    return F.array_repeat(value, n)
+
+
+def trim_array(a: Column, n: int) -> Column:
+    """a without its last n elements."""
+    return F.slice(a, F.lit(1), F.greatest(F.size(a) - F.lit(n), F.lit(0)))
+
+
+def intset(x: Column) -> Column:
+    return F.array(x)
+
+
+def intarray_union(a: Column, b: Column) -> Column:
+    """a | b: sorted, without doubles."""
+    return F.sort_array(F.array_union(a, b))
+
+
+def intarray_intersect(a: Column, b: Column) -> Column:
+    return F.sort_array(F.array_intersect(a, b))
+
+
+def intarray_minus(a: Column, b: Column) -> Column:
+    return F.sort_array(F.array_except(a, b))
+
+
+def soundex_like(a: Column, b: Column) -> Column:
+    """a SOUNDS LIKE b."""
+    return F.soundex(a) == F.soundex(b)
+
+
+def levenshtein_less_equal(a: Column, b: Column, most: int) -> Column:
+    """The distance where it is at most `most`, else a number above it."""
+    d = F.levenshtein(a, b, most)
+    return F.when(d < 0, F.lit(most + 1)).otherwise(d)
+
+
+def strict_word_similarity(a: Column, b: Column) -> Column:
+    """The greatest similarity of a with a run of whole words of b."""
+    words = F.filter(F.split(F.lower(b), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    own = show_trgm(a)
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3)))
+    starts = F.sequence(F.lit(1), F.size(words))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_distinct(F.flatten(F.transform(F.slice(words, i, n), grams))))))
+    scores = F.transform(runs, lambda r: F.size(F.array_intersect(own, r)) / F.size(F.array_union(own, r)))
+    return F.when(F.size(words) > 0, F.array_max(scores)).otherwise(F.lit(0.0))
+
+
 # hstore, ltree, cube
 
 
@@ -495,6 +654,13 @@ POSTGRES |= {
     "date_trunc": F.date_trunc, "trunc": truncate, "div": pg_int_div, "cbrt": F.cbrt, "width_bucket": F.width_bucket, "translate": F.translate, "md5": F.md5, "concat_ws": F.concat_ws, "split_part": F.split_part,
 }
 
+MYSQL |= {"ADDTIME": addtime, "SUBTIME": subtime, "TIMEDIFF": timediff, "MAKETIME": maketime, "TIME_FORMAT": time_format, "SOUNDS LIKE": soundex_like, "ST_COLLECT": geometry.collect}
+
+POSTGRES |= {
+    "array_ndims": array_ndims, "array_upper": array_upper, "array_lower": array_lower, "array_dims": array_dims, "array_fill": array_fill, "trim_array": trim_array, "intset": intset,
+    "levenshtein_less_equal": levenshtein_less_equal, "strict_word_similarity": strict_word_similarity,
+}
+
 #: Reserved for sessions and servers, without a meaning for data; named here so that a lookup says so.
 WITHOUT_DATA = frozenset(
     "BENCHMARK CONNECTION_ID FOUND_ROWS GET_LOCK GTID_SUBSET GTID_SUBTRACT ICU_VERSION IS_FREE_LOCK IS_USED_LOCK LAST_INSERT_ID LOAD_FILE MASTER_POS_WAIT NAME_CONST PS_CURRENT_THREAD_ID PS_THREAD_ID RELEASE_ALL_LOCKS RELEASE_LOCK ROLES_GRAPHML SLEEP SOURCE_POS_WAIT STATEMENT_DIGEST STATEMENT_DIGEST_TEXT UUID_SHORT VALIDATE_PASSWORD_STRENGTH WAIT_FOR_EXECUTED_GTID_SET".split()

@@ -32,6 +32,47 @@ def fold(values: Column, start: Column, step: Callable[[Column, Column], Column]
     return F.aggregate(values, start, step, finish) if finish else F.aggregate(values, start, step)
 
 
+class Operators:
+    """CREATE OPERATOR and CREATE CAST: symbols and pairs of types with functions of Columns, so that uses are rewritten into built-in expressions."""
+
+    def __init__(self) -> None:
+        self.operators: dict[str, Callable[..., Column]] = {}
+        self.casts: dict[tuple[str, str], Callable[[Column], Column]] = {}
+
+    def create_operator(self, symbol: str, f: Callable[..., Column], negator: str | None = None, commutator: str | None = None) -> None:
+        self.operators[symbol] = f
+        if negator:
+            self.operators[negator] = lambda *a: ~f(*a)
+        if commutator:
+            self.operators[commutator] = lambda a, b: f(b, a)
+
+    def create_cast(self, source: str, target: str, f: Callable[[Column], Column]) -> None:
+        self.casts[source, target] = f
+
+    def apply(self, symbol: str, *args: Column) -> Column:
+        return self.operators[symbol](*args)
+
+    def cast(self, x: Column, source: str, target: str) -> Column:
+        """By a created cast, else the built-in one."""
+        return self.casts.get((source, target), lambda c: c.cast(target))(x)
+
+
+def call(name: str, x: Column, functions: dict[str, Callable[..., Column]], fields: tuple[str, ...] = ()) -> Column:
+    """name(x) as SQL reads it: a function, else a field of a row, else a cast to a type."""
+    if name in functions:
+        return functions[name](x)
+    return x.getField(name) if name in fields else x.cast(name)
+
+
+def variadic(f: Callable[[Column], Column]) -> Callable[..., Column]:
+    """A VARIADIC function of an array as one of any number of arguments; a single array passes as it is with `array`."""
+
+    def call(*args: Column, array: Column | None = None) -> Column:
+        return f(array if array is not None else F.array(*args))
+
+    return call
+
+
 def pandas_aggregate(f: Callable[[pd.Series], float], returns: str = "double") -> Callable[[Column], Column]:
     """An aggregate, also usable over windows, whose values come to Python by Arrow."""
 

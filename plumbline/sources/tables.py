@@ -30,6 +30,30 @@ def load_data(spark: SparkSession, path: str, schema: str, separator: str = "\t"
     return spark.read.schema(schema).option("sep", separator).option("nullValue", "\\N").option("header", skip == 1).csv(path)
 
 
+def outfile(df: DataFrame, path: str, separator: str = "\t") -> None:
+    """MySQL's SELECT ... INTO OUTFILE: fields by separator, \\N for null, no header; a folder with one file a task."""
+    df.write.option("sep", separator).option("nullValue", "\\N").option("emptyValue", "").option("header", False).csv(path)
+
+
+#: Formats that `connect` reads by path.
+FORMATS = ("csv", "json", "orc", "parquet", "text", "xml")
+
+
+def connect(spark: SparkSession, form: str, where: str, schema: str | None = None, **options: str) -> DataFrame:
+    """A source by format: files by path, or "jdbc" by url. A jdbc read is cut into `numPartitions` by a numeric column if lowerBound and upperBound are given, else it is one task."""
+    reader = spark.read.options(**options)
+    if schema:
+        reader = reader.schema(schema)
+    if form == "jdbc":
+        parts = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+        if parts & set(options) and not parts <= set(options):
+            raise ValueError(f"a partitioned read needs all of {', '.join(sorted(parts))}")
+        return reader.format("jdbc").option("url", where).load()
+    if form not in FORMATS:
+        raise ValueError(f"no format {form}")
+    return reader.format(form).load(where)
+
+
 def rows_frame(spark: SparkSession, rows: Iterable, schema: str) -> DataFrame:
     """Dataclass instances as a DataFrame, for appends."""
     return spark.createDataFrame([tuple(getattr(r, f.name) for f in dataclasses.fields(r)) for r in rows], schema)

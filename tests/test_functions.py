@@ -119,3 +119,24 @@ def test_datetime_text(spark):
     spans = {"1 year 2 mons 3 days 04:05:06": (14, 3, 14706000000), "P1Y2M3DT4H5M6S": (14, 3, 14706000000), "2 weeks ago": (0, -14, 0), "-1:30": (0, 0, -5400000000), "1.5 hours": (0, 0, 5400000000), "@ 1 minute": (0, 0, 60000000), "one day": None}
     rows = spark.createDataFrame([(t,) for t in spans], "t string").select("t", fn.lookup("interval_in", "postgres")(F.col("t")).alias("i")).collect()
     assert {r.t: tuple(r.i) if r.i else None for r in rows} == spans
+
+
+def test_mysql_times(spark):
+    from plumbline.functions import registry as fn
+
+    c = lambda *xs: [r for r in spark.range(1).select(*[x.alias(f"c{i}") for i, x in enumerate(xs)]).first()]
+    lit = F.lit
+    assert c(
+        fn.addtime(lit("2007-12-31 23:59:59.999999"), lit("1 1:1:1.000002")), fn.addtime(lit("01:00:00.999999"), lit("02:00:00.999998")), fn.subtime(lit("2007-12-31 23:59:59.999999"), lit("1 1:1:1.000002")), fn.subtime(lit("01:00:00.999999"), lit("02:00:00.999998")),
+        fn.timediff(lit("2000-01-01 00:00:00"), lit("2000-01-01 00:00:00.000001")), fn.timediff(lit("2008-12-31 23:59:59.000001"), lit("2008-12-30 01:01:01.000002")), fn.timediff(lit("2000-01-01 00:00:00"), lit("10:00:00")),
+        fn.maketime(lit(12), lit(15), lit(30)), fn.maketime(lit(12), lit(60), lit(30)), fn.time_format(lit("100:00:00"), "%H %k %h %I %l"), fn.time_format(lit("13:05:09.5"), "%r|%T|%f%%"), fn.addtime(lit("x"), lit("01:00:00")),
+    ) == ["2008-01-02 01:01:01.000001", "03:00:01.999997", "2007-12-30 22:58:58.999997", "-00:59:59.999999", "-00:00:00.000001", "46:58:57.999999", None, "12:15:30", None, "100 100 04 04 4", "01:05:09 PM|13:05:09|500000%", None]
+
+
+def test_arrays_and_words(spark):
+    from plumbline.functions import registry as fn
+
+    a, none = F.array(F.lit(3), F.lit(4)), F.array().cast("array<int>")
+    row = spark.range(1).select(fn.array_dims(a), fn.array_upper(none), fn.array_ndims(none), fn.trim_array(a, 1), fn.trim_array(a, 5), fn.levenshtein_less_equal(F.lit("kitten"), F.lit("sitting"), 2), fn.levenshtein_less_equal(F.lit("kitten"), F.lit("sitting"), 3),
+                                fn.soundex_like(F.lit("Robert"), F.lit("Rupert")), F.round(fn.strict_word_similarity(F.lit("word"), F.lit("two words")), 6), fn.strict_word_similarity(F.lit("word"), F.lit("one word here"))).first()
+    assert list(row) == ["[1:2]", None, None, [3], [], 3, 3, True, 0.571429, 1.0]
