@@ -10,6 +10,12 @@ import pytest
 from plumbline.queries import ORACLE_SQL, QUERIES
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """Larger than the other tests' tables: on those of sf0.001, ties and skew hardly occur."""
+    return os.environ.get("TEST_QUERIES_DIR", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
