@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -12,24 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from plumbline.session import shared_dir
+
 #: Words of every contract: runs of anything but the six ASCII white-space bytes. bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where nothing is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    option = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if option.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return option.get()
-
-
 #: Rows that go to a Python worker at a time: whole texts, so fewer than the session's 10,000.
 BATCH_ROWS = 1000
 
@@ -46,13 +36,24 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder, not made yet. Removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors. Removed when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     with small_batches(spark):
         df.write.option("compression", compression).parquet(path)
-    _written[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table
@@ -83,6 +84,30 @@ def release() -> None:
 atexit.register(release)
 
 
+#: A key with at least this share of all rows is hot; there are at most as many as its inverse.
+HOT_SHARE = 2.0**-15
+HOT_ROWS = 64
+
+
+def join_keys(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed (key, n, ...), one row a key; n: how many of the `total` rows have it.
+
+    Hot keys, of which there can be few only, are joined by a broadcast; their rows go on spread out, so that no key draws
+    its rows into one task.
+    """
+    limit = max(HOT_ROWS, math.ceil(total * HOT_SHARE))
+    rest = [c for c in keyed.columns if c != key]
+    hot = keyed.filter(F.col("n") >= limit).select(key, *[F.col(c).alias(f"_hot_{c}") for c in rest])
+    cold = keyed.filter(F.col("n") < limit).select(F.col(key).alias("_key"), F.lit(False).alias("_is_hot"), *[F.col(c).alias(f"_cold_{c}") for c in rest])
+    kind = rows.schema[key].dataType
+    spread = F.xxhash64(*rows.columns).cast("string").cast(kind) if kind.typeName() == "binary" else F.xxhash64(*rows.columns).cast(kind)
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_is_hot", F.col("_hot_n").isNotNull())
+    marked = marked.withColumn("_key", F.when(F.col("_is_hot"), spread).otherwise(F.col(key)))
+    both = marked.join(cold, ["_key", "_is_hot"], "left")
+    out = both.select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in rest])
+    return out.filter(F.col("n").isNotNull())
+
+
 def with_positions(df: DataFrame, keys: list[Column], name: str = "position") -> DataFrame:
     """df with `name`: 0, 1, 2 ... in the order of keys, without a task that sees all rows.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -64,6 +65,56 @@ def word_bounds(buf: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
+_LANES = 4
+_LANE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[a:b]. Words go in as lanes of 8 bytes, each mixed before the next; those of more than four lanes by BLAKE2b.
+
+    No polynomial: long words can't be made to collide as they can modulo 2**64.
+    """
+    lanes = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))  # the 8 bytes from each place on
+    size = b - a
+    h = mix64((lanes[a] & _LANE_MASKS[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    some = np.arange(len(a))
+    for lane in range(1, _LANES):
+        some = some[size[some] > 8 * lane]
+        if not len(some):
+            break
+        own = lanes[a[some] + 8 * lane] & _LANE_MASKS[np.minimum(size[some] - 8 * lane, 8)]
+        h[some] = mix64(h[some] * np.uint64(_BASE) + own)
+    for i in np.flatnonzero(size > 8 * _LANES).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[a[i] : b[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def repeats(h: np.ndarray) -> np.ndarray:
+    """The places of the values that occur more than once, sorted by value."""
+    order = np.argsort(h)
+    same = np.diff(h[order]) == 0
+    many = np.zeros(len(h), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    return order[many]
+
+
+def count_words(data: bytes, chunk: int = 1 << 20) -> int:
+    """Runs of other than the six white-space bytes."""
+    n, space = 0, True
+    for at in range(0, len(data), chunk):
+        gaps = SPACES[np.frombuffer(data, np.uint8, min(chunk, len(data) - at), at)]
+        n += int(np.count_nonzero(gaps[:-1] & ~gaps[1:])) + (space and not gaps[0])
+        space = bool(gaps[-1])
+    return n
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minima of each `width` consecutive values, by doubling."""
     n = len(x) - width + 1

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._workers import tidied
@@ -26,7 +26,10 @@ BUCKET_BYTES = 20 << 20
 PLACE_BITS = np.uint64(24)
 PLACE = np.uint64((1 << 24) - 1)
 HEAVY_BIT = np.uint64(1 << 63)
-
+#: The end of the one span of a document whose whole text an earlier one has.
+WHOLE = 1 << 62
+#: Shuffle partitions at most; beyond, one holds several buckets, sorted, and its task takes them one by one.
+PARTITIONS = 1 << 14
 
 
 def compress(data: bytes) -> bytes:
@@ -90,23 +93,36 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], reach[last] - shift[last]
 
 
-SPANS = "uid long, starts array<long>, ends array<long>"
+#: One row a span, so that a document has as many rows as it has repeats, whatever the number of buckets they were found in.
+SPANS = "uid long, start long, end long"
 
 
 def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """SPANS rows, one a document."""
-    doc, start, end = merged(doc, start, end)
-    if not len(doc):
-        return
-    at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    offsets = pa.array(np.concatenate((at, [len(doc)])).astype(np.int32))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[at]), pa.ListArray.from_arrays(offsets, pa.array(start)), pa.ListArray.from_arrays(offsets, pa.array(end))], names=["uid", "starts", "ends"]
-    )
+    """SPANS rows; those that overlap or touch made one."""
+    columns = merged(doc, start, end)
+    if len(doc):
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["uid", "start", "end"])
+
+
+def with_copies(docs: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """SPANS of docs (uid, doc_id, text): what `found` finds in the first document of each text, and [0, WHOLE) for its copies.
+
+    A text that many documents have is thus looked at once and its copies cost one row each, however many strings it has.
+    Texts are told apart by SHA-256. Copies leave the documents by an anti-join of ids, which Spark broadcasts if their
+    table is below its threshold; beyond, texts travel once more.
+    """
+    from plumbline.llm._common import join_keys, written  # not at the top: this module travels to executors, sessions don't
 
+    hashed = written(docs.select("uid", F.unhex(F.sha2("text", 256)).alias("sha")), "hashes")
+    groups = hashed.groupBy("sha").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = written(join_keys(hashed, groups, "sha", hashed.count()).filter("uid > first").select("uid"), "copies")
+    single = docs.join(copies, "uid", "left_anti")
+    whole = copies.select("uid", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("end"))
+    return found(single).unionByName(whole)
 
-def cut(docs: DataFrame, spans: DataFrame, edit: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    """Every row of docs (uid, doc_id, text, others) edited by its document's spans: (doc_id, *schema, others).
+
+def cut(docs: DataFrame, spans: DataFrame, edit: Callable[[bytes, list[tuple[int, int]] | None], tuple], schema: str, kinds: list[pa.DataType]) -> DataFrame:
+    """Every row of docs (uid, doc_id, text, others) edited by its document's spans: (doc_id, *schema, others). None instead of spans: a copy of an earlier text.
 
     Texts travel to the join compressed. A document's spans are as many as its text allows, so no group is unbounded.
     """
@@ -121,15 +137,18 @@ def cut(docs: DataFrame, spans: DataFrame, edit: Callable[[bytes, list[tuple[int
                 texts = pa.array([compress(x.as_py().encode()) for x in part.column(2)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, *part.columns[3:]], names=["uid", "doc_id", "packed", *others])
 
-    gathered = spans.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    gathered = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     small = docs.select("uid", "doc_id", "text", *others).mapInArrow(tidied(shrink), "uid long, doc_id long, packed binary" + kept)
-    rows = small.join(gathered, "uid", "left").select("doc_id", "packed", "starts", "ends", *others)
+    rows = small.join(gathered, "uid", "left").select("doc_id", "packed", "spans.start", "spans.end", *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part, out = batch.slice(at, 1000), []
                 for packed, a, b in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    if b and b[0] == WHOLE:
+                        out.append(edit(decompress(packed), None))
+                        continue
                     a, b = np.array(a or [], np.int64), np.array(b or [], np.int64)
                     _, a, b = merged(np.zeros(len(a), np.int64), a, b)
                     out.append(edit(decompress(packed), list(zip(a.tolist(), b.tolist(), strict=True))))
@@ -171,6 +190,28 @@ def survey(docs: DataFrame, look: Callable[[Iterator[tuple[int, str]]], Iterator
 RANGES = 1024
 
 
-def exchange(spark: SparkSession, rows: DataFrame, buckets: int) -> DataFrame:
-    """rows (bucket, blob), bucket b in partition b."""
-    return rows.repartitionById(buckets, F.col("bucket"))
+def exchange(rows: DataFrame, buckets: int, take: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """SPANS that `take` finds in the blobs of each bucket of rows (bucket int, open boolean, blob binary).
+
+    Blobs that aren't open hold spans found already. A partition holds one bucket, or several in their order.
+    """
+    parts = min(buckets, PARTITIONS)
+    dealt = rows.repartitionById(parts, F.pmod("bucket", F.lit(parts)))
+    dealt = dealt.sortWithinPartitions("bucket") if parts < buckets else dealt
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for number, is_open, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not is_open:
+                    yield from span_rows(*unpack(blob))
+                    continue
+                if number != at and held:
+                    yield from take(held)
+                    held = []
+                at = number
+                held.append(blob)
+        if held:
+            yield from take(held)
+
+    return dealt.mapInArrow(tidied(run), SPANS)

@@ -4,8 +4,10 @@ Every string of LENGTH bytes holds LENGTH - DEPTH + 1 substrings of DEPTH bytes;
 of equals) is its anchor. Strings alike have anchors alike, so it is enough to sort the suffixes that begin at anchors -
 one in about 39 positions - by their first DEPTH bytes, and to compare strings only where these agree.
 
+Copies of whole texts are decided by the texts' SHA-256 beforehand: only the first of them goes through what follows.
+
 1. Each task takes texts of about FLUSH_BYTES, finds the anchors and, for each, the run of consecutive strings that share
-   it. A run whose bytes occur earlier among these texts is decided at once and travels no further, so that a passage in
+   it. Of runs alike that follow each other (a period), the first travels: the others stand later in their document. A run whose bytes occur earlier among these texts is decided at once and travels no further, so that a passage in
    very many documents leaves a task once. The other suffixes are sorted and front-coded (length of the prefix shared
    with the suffix before, then the rest up to DEPTH) with the run's other bytes beside them, by range of their first
    bytes.
@@ -74,6 +76,19 @@ def runs_of(keys: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.ndarray
     return windows[at], np.diff(np.append(at, len(windows))), anchor[at]
 
 
+def stretches(first: np.ndarray, count: np.ndarray, hashes: np.ndarray, data: bytes, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first run, number of runs) of the stretches of runs that follow each other without a gap and hold the same bytes, data[at:end].
+
+    A text that repeats itself with a period below the minimiser's width makes one run a period, all alike.
+    """
+    alike = (hashes[1:] == hashes[:-1]) & (count[1:] == count[:-1]) & (first[1:] == first[:-1] + count[:-1])
+    some = np.flatnonzero(alike)
+    places = zip(at[some].tolist(), end[some].tolist(), at[some + 1].tolist(), end[some + 1].tolist(), strict=True)
+    alike[some] = np.fromiter((data[a:b] == data[c:d] for a, b, c, d in places), bool, len(some))
+    heads = np.flatnonzero(np.concatenate(([True], ~alike))[: len(first)])
+    return heads, np.diff(np.append(heads, len(first)))
+
+
 def _pieces(texts: Iterator[tuple[int, str | None]]) -> Iterator[tuple[tuple[int, int], bytes]]:
     """((uid, offset), bytes); pieces of one text overlap by LENGTH - 1 bytes, so that each string is in one piece."""
     for uid, text in texts:
@@ -88,7 +103,7 @@ class _Flush:
     """The runs of some texts: columns of equal length, offsets into `data`."""
 
     def __init__(self, pieces: list[tuple[tuple[int, int], bytes]], table: np.ndarray | None) -> None:
-        columns, buffers, base = [], [], 0
+        columns, inner, buffers, base = [], [], [], 0
         for keys, parts in K.grouped(pieces, R.CHUNK_BYTES):
             buf, data, starts = K.joined(parts, b"")
             prefix = K.prefix_hash(buf)
@@ -102,11 +117,18 @@ class _Flush:
             first, count, anchor = runs_of(ranked_keys(grams, table), WIDTH, np.cumsum(edge[:-1]).astype(bool))
             place = np.searchsorted(starts, first, "right") - 1
             uid, offset = np.array(keys, np.int64).reshape(-1, 2).T
-            columns.append((K.slice_hash(prefix, first, first + count + LENGTH - 1), grams[anchor], uid[place], offset[place] + first - starts[place], count, first + base, anchor + base))
+            pos = offset[place] + first - starts[place]
+            hashes = K.slice_hash(prefix, first, first + count + LENGTH - 1)
+            heads, times = stretches(first, count, hashes, data, first, first + count + LENGTH - 1)
+            more = heads[times > 1]
+            inner.append(R.merged(uid[place[more]], pos[more] + count[more], pos[more] + (times * count[heads])[times > 1] + LENGTH - 1))
+            columns.append((hashes[heads], grams[anchor[heads]], uid[place[heads]], pos[heads], count[heads], first[heads] + base, anchor[heads] + base))
             buffers.append(data)
             base += len(data)
         self.data = b"".join(buffers)
         empty = np.zeros(0, np.int64)
+        #: spans of the runs that repeat the run before
+        self.inner = tuple(np.concatenate(x) for x in zip(*inner, strict=True)) if inner else (empty, empty, empty)
         self.hash, self.gram, self.uid, self.pos, self.count, self.at, self.anchor = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (empty.view(np.uint64), empty.view(np.uint64), *[empty] * 5)
 
     def keep(self, rows: np.ndarray) -> None:
@@ -118,19 +140,20 @@ class _Flush:
         return [self.data[i:j] for i, j in zip(a.tolist(), (a + self.count[rows] + LENGTH - 1).tolist(), strict=True)]
 
     def decide(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Takes out the runs whose bytes stand earlier in these texts; their spans."""
-        order = np.lexsort((self.pos, self.uid, self.hash))
+        """Takes out the runs whose bytes stand earlier in these texts; their spans, and `inner`."""
+        some = K.repeats(self.hash)
+        order = some[np.lexsort((self.pos[some], self.uid[some], self.hash[some]))]
         h = self.hash[order]
-        same = np.flatnonzero(h[1:] == h[:-1]) + 1
-        if not len(same):
-            return self.uid[:0], self.pos[:0], self.pos[:0]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
+        first = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
+        if not len(some):
+            return self.inner
         leader = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        same = np.flatnonzero(~first)
         ours, theirs = order[same], order[leader[same]]
         alike = np.fromiter((x == y for x, y in zip(self.bytes_of(ours), self.bytes_of(theirs), strict=True)), bool, len(ours))
         gone = ours[alike]
-        spans = self.uid[gone], self.pos[gone], self.pos[gone] + self.count[gone] + LENGTH - 1
-        stays = np.ones(len(h), bool)
+        spans = tuple(np.concatenate(x) for x in zip((self.uid[gone], self.pos[gone], self.pos[gone] + self.count[gone] + LENGTH - 1), self.inner, strict=True))
+        stays = np.ones(len(self.hash), bool)
         stays[gone] = False
         self.keep(stays)
         return spans
@@ -329,15 +352,14 @@ def _merge_bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield from R.span_rows(*np.array(spans, np.int64).T)
 
 
-def repeat_spans(docs: DataFrame) -> DataFrame:
-    """R.SPANS of (uid, doc_id, text): the bytes of each document covered by strings that start earlier. A document may have several rows."""
-    spark = docs.sparkSession
+def _found(docs: DataFrame) -> DataFrame:
+    """R.SPANS of (uid, doc_id, text). A document may have several rows."""
     total, heavy, cuts = R.survey(docs, _look)
     buckets = max(1, math.ceil(total * (LENGTH + WIDTH // 2) / R.BUCKET_BYTES))
     ranges = min(buckets, R.RANGES)
     within = math.ceil(buckets / ranges)
     splitters = np.array([cuts[i * (len(cuts) + 1) // ranges - 1] for i in range(1, ranges)], np.int64) if len(cuts) >= ranges - 1 else cuts
-    shared = spark.sparkContext.broadcast((heavy, splitters))  # at most 2**18 hashes and RANGES splitters
+    shared = docs.sparkSession.sparkContext.broadcast((heavy, splitters))  # at most 2**18 hashes and RANGES splitters
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, splitters = shared.value
@@ -363,23 +385,22 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "open", "blob"])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for number, is_open, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if is_open:
-                    by_bucket.setdefault(number, []).append(blob)
-                else:
-                    yield from R.span_rows(*R.unpack(blob))
-        for number in list(by_bucket):
-            yield from _merge_bucket(by_bucket.pop(number))
-
     rows = docs.select("uid", "text").mapInArrow(tidied(split), "bucket int, open boolean, blob binary")
-    return R.exchange(spark, rows, ranges * within).mapInArrow(tidied(gather), R.SPANS)
+    return R.exchange(rows, ranges * within, _merge_bucket)
+
+
+def repeat_spans(docs: DataFrame) -> DataFrame:
+    """R.SPANS of (uid, doc_id, text): the bytes of each document covered by strings that start earlier. A document may have several rows."""
+    return R.with_copies(docs, _found)
+
+
+def _whole(data: bytes) -> list[tuple[int, int]]:
+    """The spans of a copy."""
+    return [(0, len(data))] if len(data) >= LENGTH else []
 
 
-def _digest(data: bytes, spans: list[tuple[int, int]]) -> tuple:
-    kept, at = [], 0
+def _digest(data: bytes, spans: list[tuple[int, int]] | None) -> tuple:
+    spans, kept, at = _whole(data) if spans is None else spans, [], 0
     for a, b in spans:
         kept.append(data[at:a])
         at = b
@@ -394,8 +415,8 @@ def cut_digests(docs: DataFrame) -> DataFrame:
     return R.cut(base, repeat_spans(base if unique else base.dropDuplicates(["uid"])), _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", kinds)
 
 
-def _kept_text(data: bytes, spans: list[tuple[int, int]]) -> tuple:
-    kept, at = [], 0
+def _kept_text(data: bytes, spans: list[tuple[int, int]] | None) -> tuple:
+    spans, kept, at = _whole(data) if spans is None else spans, [], 0
     for a, b in spans:
         while a < b and data[a] & 0xC0 == 0x80:  # begins inside a code point: that stays
             a += 1
