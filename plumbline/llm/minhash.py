@@ -18,7 +18,9 @@ dropped; pairs that can't be links, or can't change a component, are not made.
 Defined results: words are runs of other than the six ASCII white-space bytes with A-Z lower-cased; a text of fewer words
 than a shingle has the whole sequence as its one shingle; null or a text without words has an empty set and links to
 nothing; repeated rows (doc_id and text alike) are one document, returned as often as it occurs; documents under one id
-come in the order of their texts' SHA-256, null ids last. Sets are compared by 64-bit hashes of their shingles.
+come in the order of their texts' SHA-256, null ids last. Sets are compared by 64-bit hashes of their
+shingles, which are made of whole words' hashes, no
+polynomials over their bytes.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plumbline.llm import _kernels as K
-from plumbline.llm._common import discard, distinct_documents, written
+from plumbline.llm._common import discard, distinct_documents, join_keys, written
 from plumbline.llm._workers import tidied
 from plumbline.llm._repeats import compress, decompress
 
@@ -81,9 +83,9 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     short: dict[int, np.ndarray] = {}  # the whole sequence of a text's last piece of fewer than k words; it carries all words so far
     factors = K.powers(k + 1, 0xC2B2AE3D27D4EB4F)[1:]
     for keys, parts in K.grouped(_pieces(texts, k), _CHUNK):
-        buf, _, starts = K.joined(parts)
+        buf, data, starts = K.joined(parts)
         a, b = K.word_bounds(buf, _NOT_SPACE)
-        words = K.slice_hash(K.prefix_hash(buf), a, b)
+        words = K.word_hashes(data, a, b)
         n = max(0, len(words) - k + 1)
         grams = np.zeros(n, np.uint64)
         for j in range(k):
@@ -92,14 +94,14 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
         edges = [*np.searchsorted(a, starts).tolist(), len(a)]
         for key, i, j in zip(keys, edges[:-1], edges[1:], strict=True):
             if j - i >= k:
-                found[key].append(np.unique(grams[i : j - k + 1]))
+                found[key].append(K.distinct(grams[i : j - k + 1]))
             elif j > i and not found[key]:
                 whole = K.slice_hash(K.prefix_hash(words[i:j]), np.array([0]), np.array([j - i]))
                 short[key] = whole ^ np.uint64(j - i)
     for key, whole in short.items():
         if not found[key]:
             found[key].append(whole)
-    return [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found]
+    return [x[0] if len(x) == 1 else K.distinct(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found]
 
 
 def _constants(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,28 +112,31 @@ def _constants(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
 def signature(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """The upper 32 bits of the minimum of each coordinate's multiply-add."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        np.minimum(least, (hashes[at : at + 2048, None] * factors[None, :] + shifts[None, :]).min(axis=0), out=least)
+    for at in range(0, len(hashes), 1024):
+        values = factors[:, None] * hashes[None, at : at + 1024]
+        values += shifts[:, None]
+        np.minimum(least, values.min(axis=1), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def signatures(docs: DataFrame, k: int, coordinates: int = COORDINATES) -> DataFrame:
-    """(uid, n, f1, f2, sig) of (uid, text): size, 128-bit fingerprint and signature of each set."""
+    """(uid, n, words, f1, f2, sig) of (uid, text): size of the set, words of the text, 128-bit fingerprint and signature of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _constants(coordinates)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = shingle_sets(part.column(1).to_pylist(), k)
+                texts = part.column(1).to_pylist()
+                sets, words = shingle_sets(texts, k), [K.count_words((x or "").encode()) for x in texts]
                 prints = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 sigs = [signature(s, factors, shifts).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(sigs, pa.binary())],
-                    names=["uid", "n", "f1", "f2", "sig"],
+                    [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(words, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(sigs, pa.binary())],
+                    names=["uid", "n", "words", "f1", "f2", "sig"],
                 )
 
-    return docs.select("uid", "text").mapInArrow(tidied(run), "uid long, n long, f1 long, f2 long, sig binary")
+    return docs.select("uid", "text").mapInArrow(tidied(run), "uid long, n long, words long, f1 long, f2 long, sig binary")
 
 
 def _tokens(sigs: list[bytes], coordinates: int) -> np.ndarray:
@@ -248,7 +253,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 for a, text, other in zip(part.column(0).to_pylist(), (x.as_py() for x in part.column(2)), others, strict=True):
                     if a != last:
                         last, own = a, shingle_sets([decompress(text).decode()], k)[0]
-                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    both = _shared(own, other)
                     keep.append(100 * both >= percent * (len(own) + len(other) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -287,6 +292,14 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
 _RATIO = 1.05
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if not len(x):
+        return 0
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return int(np.count_nonzero(x[at] == y))
+
+
 def _exact_candidates(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The table to discard after use, and pairs (a, b) of documents in ids (uid, root) of different roots that may be `percent` alike, by shingles alone."""
 
@@ -329,7 +342,7 @@ def _sorted_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
-    """(uid, n, root) for every different document of docs (uid, text); root: the smallest uid of its component."""
+    """(uid, n, words, root) for every different document of docs (uid, text): shingles, words, and the smallest uid of its component."""
     needed = least_matches(percent, coordinates)
     prefix = coordinates - needed + 1
     sigs = written(signatures(docs, k, coordinates), "signatures")
@@ -337,9 +350,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     classes = full.groupBy("f1", "f2").agg(F.min("uid").alias("rep"))
     members = written(full.select("uid", "f1", "f2").join(classes, ["f1", "f2"]).select("uid", "rep"), "classes")
     reps = written(full.join(members.filter("uid = rep").select("uid"), "uid").select("uid", "sig"), "representatives")
-    posted = postings(reps, token_counts(reps, coordinates), prefix, coordinates)
-    several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    lists = written(posted.join(several, "token"), "postings")
+    posted = written(postings(reps, token_counts(reps, coordinates), prefix, coordinates), "postings")
+    total = reps.count() * prefix
+    centre = F.max_by("uid", F.struct("score", "uid")).alias("centre")
+    several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), centre).filter("n > 1")
+    lists = written(join_keys(posted.select("token", "uid"), several, "token", total), "lists")
+    discard(posted)
     comp = lists.select("uid").distinct().select("uid", F.col("uid").alias("root"))
 
     def linked(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -350,22 +366,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
         discard(pairs, alike, links)
         return comp
 
-    short, long = (lists.filter(F.col("size") <= SHORT), lists.filter(F.col("size") > SHORT))
+    short, long = (lists.filter(F.col("n") <= SHORT), lists.filter(F.col("n") > SHORT))
     x, y = (short.select("token", F.col("uid").alias(i)) for i in ("a", "b"))
-    centre = long.groupBy("token").agg(F.max_by("uid", F.struct("score", "uid")).alias("c"))
-    stars = long.join(centre, "token").filter("uid <> c").select(F.col("c").alias("a"), F.col("uid").alias("b"))
+    stars = long.filter("uid <> centre").select(F.col("centre").alias("a"), F.col("uid").alias("b"))
     comp = linked(_sorted_pairs(x.join(y, "token").filter("a < b").select("a", "b").union(stars)), written(comp, "components"))
     left = long.select("token", "uid").join(comp, "uid")
-    mixed = left.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
-    ids = written(left.join(mixed, "token").select("uid", "root").distinct(), "open")
+    mixed = left.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1").select("token", "n")
+    ids = written(join_keys(left, mixed, "token", total).select("uid", "root").distinct(), "open")
     if ids.limit(1).count():
         prefixes, candidates = _exact_candidates(docs, ids, k, percent)
         comp = linked(candidates, comp)
         discard(prefixes)
     discard(reps, lists, ids)
-    out = sigs.select("uid", "n").join(members, "uid", "left")
+    out = sigs.select("uid", "n", "words").join(members, "uid", "left")
     roots = comp.select(F.col("uid").alias("rep"), "root")
-    return out.join(roots, "rep", "left").select("uid", "n", F.coalesce("root", "rep", "uid").alias("root"))
+    return out.join(roots, "rep", "left").select("uid", "n", "words", F.coalesce("root", "rep", "uid").alias("root"))
 
 
 def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -382,16 +397,16 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each component (the smallest document's; the first of repeated rows), columns unchanged."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    _, unique = distinct_documents(docs)
+    """One row of docs for each component (the smallest document's; the first of repeated rows), columns unchanged whatever their names."""
+    ids, texts = F.col("d.doc_id").cast("long"), F.coalesce(F.col("d.text").cast("string"), F.lit(""))
+    table, unique = distinct_documents(docs)
     if unique:
-        roots = near_duplicates(base.select(F.col("doc_id").alias("uid"), "text"), k, percent).filter("uid = root").select(F.col("uid").alias("_uid"))
-        return docs.join(roots, docs["doc_id"] == F.col("_uid"), "left_semi")
-    table, _ = distinct_documents(docs)
+        chosen = near_duplicates(table.select("uid", "text"), k, percent).filter("uid = root").select("uid")
+        return docs.alias("d").join(chosen.alias("c"), ids == F.col("c.uid"), "left_semi")
     table = written(table, "documents")
     roots = near_duplicates(table.dropDuplicates(["uid"]).select("uid", "text"), k, percent).filter("uid = root").select("uid")
-    chosen = table.join(roots, "uid", "left_semi").select(F.col("doc_id").alias("_id"), F.sha2("text", 256).alias("_sha")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    rows = keyed.join(chosen.withColumnRenamed("_sha", "_s"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_sha"] == F.col("_s")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    chosen = table.join(roots, "uid", "left_semi").select("doc_id", F.sha2("text", 256).alias("sha")).distinct()
+    # the input's columns stay in one struct, so that none of their names can clash
+    rows = docs.alias("d").select(F.struct("d.*").alias("row"), ids.alias("doc_id"), F.sha2(texts, 256).alias("sha")).alias("r")
+    kept = rows.join(chosen.alias("c"), F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.sha") == F.col("c.sha")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "sha"]).select("row.*")
