@@ -1,14 +1,15 @@
 """Document fingerprints: context-triggered piecewise hashing.
 
 A rolling hash of the last 7 bytes cuts a text wherever it is `block - 1` modulo the block size; each piece gives one of
-64 letters, so an edit changes the letters near it only. A fingerprint is `block:letters:letters at twice the block`.
+64 letters by its xxHash, so an edit changes the letters near it only. A fingerprint is `block:letters:letters at twice the block`.
 Two fingerprints compare where their block sizes are equal or differ by a factor of two: 1 - indel distance / total length
 of the letters at a common block size (the better of the two common sizes), where that distance counts single insertions
 and deletions; otherwise their likeness is 0. Runs of more than three equal letters count as three.
 
 Defined results: null and empty text alike have the fingerprint `3::` (likeness 1 with itself, 0 with any other);
 equal texts have equal fingerprints. In `fingerprint_documents`, documents follow each other by ascending doc_id (null
-first), then by their texts' hash; repeated rows are compared each with its next; a lone document is its own next.
+first), then by their texts' hash; repeated rows are compared each with its next; a lone document is its own next. Very
+long texts are hashed chunk by chunk.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -27,17 +29,21 @@ from plumbline.llm._common import written
 from plumbline.llm._workers import tidied
 
 LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-_LETTERS = np.frombuffer(LETTERS, np.uint8)
 LEAST_BLOCK = 3
 PIECES = 64
 REACH = 7
+#: Bytes of a text that the rolling hash is taken of at a time.
+CHUNK_BYTES = 1 << 20
 
 
-def _rolling(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: sum, weighted sum and shifted xor of the last REACH bytes."""
-    n = len(data)
+def _rolling(data: bytes, at: int) -> np.ndarray:
+    """The rolling hash after each of up to CHUNK_BYTES bytes from `at` on: sum, weighted sum and shifted xor of the last REACH bytes."""
+    own = np.frombuffer(data, np.uint8, min(CHUNK_BYTES, len(data) - at), at)
+    n = len(own)
     x = np.zeros(n + REACH - 1, np.uint32)
-    x[REACH - 1 :] = data
+    x[REACH - 1 :] = own
+    before = data[max(0, at - REACH + 1) : at]
+    x[REACH - 1 - len(before) : REACH - 1] = np.frombuffer(before, np.uint8)
     plain, weighted, shifted = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     for back in range(REACH):
         part = x[REACH - 1 - back : REACH - 1 - back + n]
@@ -47,58 +53,35 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     return plain + weighted + shifted
 
 
-_POWERS = [np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        p = np.full(max(n, 2 * len(_POWERS[0])), 0x100000001B3, np.uint64)
-        p[0] = 1
-        _POWERS[0] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0][:n]
-
-
-def _letters(data: np.ndarray, roll: np.ndarray, prefix: np.ndarray, block: int, most: int) -> bytes:
-    cuts = np.flatnonzero(roll % np.uint32(block) == np.uint32(block - 1)) + 1
-    cuts = cuts[: most - 1]
-    edges = np.concatenate(([0], cuts, [len(data)] if not len(cuts) or cuts[-1] < len(data) else [])).astype(np.int64)
-    start, end = edges[:-1], edges[1:]
-    # scaled to the piece's own start, so that its value doesn't depend on where it stands
-    value = (prefix[end] - prefix[start]) * _powers(len(data) + 1)[start] + (end - start).astype(np.uint64)
-    value ^= value >> np.uint64(29)
-    value *= np.uint64(0xBF58476D1CE4E5B9)
-    return _LETTERS[(value >> np.uint64(58)).astype(np.int64)].tobytes()
+def _letters(data: bytes, first: np.ndarray, block: int, most: int) -> bytes:
+    """At most `most` letters, one a piece; `first`: the rolling hash of the first chunk. Chunks are looked at until there are enough cuts."""
+    cuts: list[int] = []
+    for at in range(0, len(data), CHUNK_BYTES):
+        roll = _rolling(data, at) if at else first
+        cuts += (np.flatnonzero(roll % np.uint32(block) == np.uint32(block - 1))[: most - 1] + (at + 1)).tolist()
+        if len(cuts) >= most - 1:
+            break
+    edges = [0, *cuts[: most - 1]]
+    if edges[-1] < len(data):
+        edges.append(len(data))
+    view = memoryview(data)
+    return bytes(LETTERS[xxhash.xxh64_intdigest(view[a:b]) & 63] for a, b in itertools.pairwise(edges))
 
 
 def fingerprint(data: bytes) -> str:
     """The fingerprint of a byte string; the block size is halved until the first part has half the pieces wanted."""
     if not data:
         return f"{LEAST_BLOCK}::"
-    x = np.frombuffer(data, np.uint8)
-    roll = _rolling(x)
-    prefix = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _inverse_powers(len(x)), out=prefix[1:])
+    first = _rolling(data, 0)
     block = LEAST_BLOCK
     while block * PIECES < len(data):
         block *= 2
     while True:
-        one = _letters(x, roll, prefix, block, PIECES)
+        one = _letters(data, first, block, PIECES)
         if block == LEAST_BLOCK or len(one) >= PIECES // 2:
             break
         block //= 2
-    return f"{block}:{one.decode()}:{_letters(x, roll, prefix, 2 * block, PIECES // 2).decode()}"
-
-
-_INVERSE = [np.ones(1, np.uint64)]
-_INVERSE_OF_PRIME = pow(0x100000001B3, -1, 1 << 64)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    if len(_INVERSE[0]) < n:
-        p = np.full(max(n, 2 * len(_INVERSE[0])), _INVERSE_OF_PRIME, np.uint64)
-        p[0] = 1
-        _INVERSE[0] = np.cumprod(p, dtype=np.uint64)
-    return _INVERSE[0][:n]
+    return f"{block}:{one.decode()}:{_letters(data, first, 2 * block, PIECES // 2).decode()}"
 
 
 def _short_runs(s: str) -> str:
@@ -157,11 +140,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """SCHEMA for every document against its edited text and the next document.
 
     One range exchange puts neighbours together. Each partition compares its rows as they stream by and hands on its
-    first and last document; these few (two a partition) are stitched afterwards.
+    first and last document; these few (two a partition) find each other by a join on the partitions' numbers.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # ranges are drawn from a sample of the keys, which the driver sees: a hash, not the text
-    ordered = base.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # ranges are drawn from a sample of the keys, which the driver sees: a hash, not the text; the place parts repeated rows
+    keyed = base.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +160,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*cols, *extra], names=[*_NAMES, "part", "first_id", "first_text", "last_id", "last_text"])
 
         for batch in batches:
-            for doc, text, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, number in zip(*((x.as_py() for x in c) for c in batch.columns), strict=True):
                 part, mark = number, fingerprint(text.encode())
                 if last is not None:
                     out.append(_compared(*last, text, mark))
@@ -193,14 +177,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     table = written(ordered.mapInArrow(tidied(run), SCHEMA + ", part int, first_id long, first_text string, last_id long, last_text string"), "ctph")
     ends = table.filter(F.col("part").isNotNull()).select("part", "first_text", "last_id", "last_text")
-    w = Window.orderBy("part")  # one row a partition
-    lone = F.first("first_text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    seams = ends.select("last_id", "last_text", F.coalesce(F.lead("first_text").over(w), lone).alias("after"))
+    w = Window.orderBy("part")  # one number a partition
+    first = F.min("part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = ends.select("part").select("part", F.coalesce(F.lead("part").over(w), first).alias("next"))
+    after = ends.select(F.col("part").alias("next"), F.col("first_text").alias("after"))
+    seams = ends.select("part", "last_id", "last_text").join(following, "part").join(after, "next").select("last_id", "last_text", "after")
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_compared(d, t, fingerprint(t.encode()), a, fingerprint(a.encode())) for d, t, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            if rows:
-                yield _batch(rows)
+            for d, t, a in zip(*((x.as_py() for x in c) for c in batch.columns), strict=True):
+                yield _batch([_compared(d, t, fingerprint(t.encode()), a, fingerprint(a.encode()))])
 
     return table.filter(F.col("part").isNull()).select(*_NAMES).unionByName(seams.mapInArrow(tidied(stitch), SCHEMA))
