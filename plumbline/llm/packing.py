@@ -6,13 +6,14 @@ bit for each source and each duplicate cluster in it; a tree over the rooms 0 ..
 below a node have in common, so that the search for the next larger room passes over whole stretches of bins that
 conflict in one bit and goes on until it finds the tightest bin that fits.
 
-Rows are dealt at random to shards of about `shard_rows` documents, each packed by itself: no task ever holds more, and a
-source with a third of all rows has a third of each shard. Texts don't travel, only ids, sizes, sources and clusters.
+Rows are dealt by a hash of their values and of their number among rows alike to shards of about `shard_rows` documents,
+each packed by itself: no task ever holds more, and a source with a third of all rows has a third of each shard. Texts
+don't travel, only ids, sizes, sources and clusters.
 
 Defined results: a document longer than `capacity` is cut; its full pieces fill bins of their own and the rest is packed;
 a document without words (null or empty text) has one row with no bin; null is a source of its own, a null cluster
 conflicts with nothing; repeated rows are packed each, and since they share their cluster, apart. Ties in size go by id,
-then by place; of equally tight bins the oldest is taken.
+then by their number; of equally tight bins the oldest is taken.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from plumbline.llm._workers import tidied
 
 CAPACITY = 2048
 SHARD_ROWS = 8192
+#: Rows alike that one task numbers at a time.
+REPEATS = 4096
+#: Shuffle partitions at most; beyond, one holds several shards, sorted, and its task packs them one by one.
+PARTITIONS = 1 << 12
 
 
 class _Bins:
@@ -106,43 +111,59 @@ def pack_shard(items: list[tuple[int, int, int | None]], capacity: int) -> list[
 SCHEMA = "doc_id long, piece long, start long, n_words long, source string, bin_id long"
 
 
+def _numbered(items: DataFrame) -> DataFrame:
+    """(doc_id, source, size, cluster, repeat): rows alike are counted, not gathered, and numbered from 0, some thousands of a kind in a task."""
+    kinds = items.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), F.col("cluster").cast("long"))
+    counted = kinds.groupBy(*kinds.columns).agg(F.count(F.lit(1)).alias("n"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))))
+    heads, rest = runs.filter("run = 0"), runs.filter("run > 0").repartition("doc_id", "run")
+    numbers = F.sequence(F.col("run") * REPEATS, F.least(F.col("n"), (F.col("run") + 1) * REPEATS) - 1)
+    return heads.unionByName(rest).select(*kinds.columns, F.explode(numbers).alias("repeat"))
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """SCHEMA for items (doc_id, source, size, cluster long): one row a piece."""
-    base = items.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), F.col("cluster").cast("long"))
-    base = base.withColumn("row", F.monotonically_increasing_id())
-    shards = max(1, math.ceil(items.count() / shard_rows))
-    dealt = base.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    """SCHEMA for items (doc_id, source, size, cluster long): one row a piece. The result depends on the rows alone, not on files or partitions."""
+    table = written(_numbered(items), "items")
+    shards = max(1, math.ceil(table.count() / shard_rows))
+    parts = min(shards, PARTITIONS)
+    shard = F.pmod(F.xxhash64("doc_id", "source", "size", "cluster", "repeat"), F.lit(shards)).cast("int")
+    dealt = table.withColumn("shard", shard).repartitionById(parts, F.pmod("shard", F.lit(parts)))
+    dealt = dealt.sortWithinPartitions("shard") if parts < shards else dealt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, list[tuple]] = {}
+        at, held = None, []
         for batch in batches:
-            for *item, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shards.setdefault(shard, []).append(tuple(item))
-        for shard in sorted(shards):
-            yield from _packed(shards.pop(shard), shard, capacity)
+            for *item, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and number != at:
+                    yield from _packed(held, at, capacity)
+                    held = []
+                at = number
+                held.append(tuple(item))
+        if held:
+            yield from _packed(held, at, capacity)
 
-    rows = dealt.repartitionById(shards, F.col("shard")).select("doc_id", "source", "size", "cluster", "row", "shard")
-    return rows.mapInArrow(tidied(run), SCHEMA)
+    return dealt.select("doc_id", "source", "size", "cluster", "repeat", "shard").mapInArrow(tidied(run), SCHEMA)
 
 
 def _packed(items: list[tuple], shard: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one shard's items (doc_id, source, size, cluster, row)."""
+    """Rows of one shard's items (doc_id, source, size, cluster, repeat)."""
     first = shard << 32  # bins of a shard are numbered from here
+    items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "", x[2], x[3] is None, x[3] or 0, x[4]))
     held = [x[3] for x in items if x[3] is not None]
     seen: set[int] = set()
     shared = {c for c in held if c in seen or seen.add(c)}  # a cluster of one needs no bit
     sources = {s: i for i, s in enumerate(dict.fromkeys(x[1] for x in items))}
     rests, out, full = [], [], 0
-    for doc, source, size, cluster, row in items:
+    for doc, source, size, cluster, repeat in items:
         whole, rest = divmod(size, capacity)
         for piece in range(whole):
             out.append((doc, piece, piece * capacity, capacity, source, first + full))
             full += 1
         if rest:
-            rests.append((-rest, doc is None, doc or 0, row, whole, source, cluster if cluster in shared or whole else None))
+            rests.append((-rest, doc is None, doc or 0, repeat, whole, source, cluster if cluster in shared or whole else None))
         elif not whole:
             out.append((doc, 0, 0, 0, source, None))
-    rests.sort(key=lambda x: x[:4])
+    rests.sort(key=lambda x: x[:4])  # stable: other ties stay in the order above
     bins = pack_shard([(-x[0], sources[x[5]], x[6]) for x in rests], capacity)
     out += [(None if missing else doc, whole, whole * capacity, -size, source, first + full + b) for (size, missing, doc, _, whole, source, _), b in zip(rests, bins, strict=True)]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
@@ -160,13 +181,11 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int =
 
 
 def pack_apart(docs: DataFrame, k: int = 5, percent: int = 80, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """SCHEMA for docs (doc_id, text, source): size in words; documents linked by MinHash of their texts in lower case are a duplicate cluster."""
+    """SCHEMA for docs (doc_id, text, source): size in words; documents linked by MinHash (A-Z lower-cased) are a duplicate cluster."""
     from plumbline.llm.minhash import near_duplicates
-    from plumbline.llm.mixing import n_words
 
     base, unique = distinct_documents(docs, ("source",))
-    rows = base.select("uid", "doc_id", F.col("_c0").alias("source"), n_words(F.col("text")).alias("size"))
     one = base if unique else base.dropDuplicates(["uid"])
-    clusters = near_duplicates(one.select("uid", F.lower("text").alias("text")), k, percent).select("uid", F.col("root").alias("cluster"))
-    # written: shards are dealt by the rows' places, which must not change if a task runs again
-    return pack(written(rows.join(clusters, "uid").drop("uid"), "items"), capacity, shard_rows)
+    found = near_duplicates(one.select("uid", "text"), k, percent).select("uid", F.col("words").alias("size"), F.col("root").alias("cluster"))
+    rows = base.select("uid", "doc_id", F.col("_c0").alias("source"))
+    return pack(rows.join(found, "uid").drop("uid"), capacity, shard_rows)
