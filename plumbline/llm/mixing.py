@@ -7,9 +7,10 @@ prefix sums over the sources in the order of their filling points. A source's re
 document is taken floor(rate) times and once more if its seeded hash falls below the fraction.
 
 Defined results: a null text or one without words has size 0, so no words of it are taken, but `mixed` repeats its row by
-its source's rate like any other; a source whose documents are all empty has target 0 and rate 0; null is a source of its own; rows alike in id and text hash alike, so they are taken alike. The hash is
-that of the id and the text, so it doesn't depend on partitions, order or earlier runs. Columns of the input that clash
-with the operator's own are kept by `mixed` as they are.
+its source's rate like any other; a source whose documents are all empty has target 0 and rate 0; null is
+a source of its own; rows alike in id and text hash alike, so they are taken alike. The hash is that of the id and the
+text, so it doesn't depend on partitions, order or earlier runs. Columns of the input that clash with the operator's own
+are kept by `mixed` as they are.
 """
 
 from __future__ import annotations
@@ -87,13 +88,13 @@ def _taken(sized: DataFrame, weights: tuple[int, ...], factor: float, most: floa
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; columns unchanged. Texts stay in place: rates come back by source, hashes are recomputed."""
+    """docs with each row repeated as often as the mix takes it; columns unchanged whatever their names. Texts stay in place: rates come back by source, hashes are recomputed."""
     sizes = docs.groupBy(F.col("source").alias("source")).agg(F.sum(n_words(F.col("text"))).cast("long").alias("source_size"))
-    goals = targets(sizes, weights, factor, most).select(
-        F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate")
-    )
-    names = docs.columns
-    joined = docs.join(_hinted(goals), docs["source"].eqNullSafe(F.col("_source")))
-    copies = (F.floor("_rate") + (_chance(seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    rows = joined.withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goals = _hinted(targets(sizes, weights, factor, most).select("source", rate.alias("rate")))
+    # the input's columns stay in one struct, so that none of their names can clash
+    rows = docs.alias("d").select(F.struct("d.*").alias("row"), F.col("d.source").alias("source"), _chance(seed).alias("chance")).alias("r")
+    joined = rows.join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("row", "rate", "chance")
+    copies = (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
+    taken = joined.select("row", copies.alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
