@@ -2,12 +2,17 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
+import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from plumbline.llm import ctph, media, minhash, mixing, packing, suffixes, superkmers, tokenfile, toxicity, warc
 
@@ -102,6 +107,56 @@ def test_substring_dedup_small_pieces(monkeypatch, spark, documents):
         assert {(r[0], *r[1:]) for r in op.cut_digests(docs).collect()} == {(i, *want[i, t]) for i, t in rows}
 
 
+@pytest.mark.parametrize("op,brute", [(suffixes, brute_suffixes), (superkmers, brute_superkmers)])
+def test_substring_dedup_of_texts_with_periods(op, brute, spark, monkeypatch):
+    """Constant texts, rulers and repeated lines, alone and within others, in one piece and in several."""
+    from plumbline.llm import _repeats
+
+    line = "one line of words that comes again and again until all of the text is full of it\n"
+    bodies = ["a" * 700, "a " * 900, "a b " * 300, "=-" * 400 + " " + "- " * 200, line * 40, line[:50] * 30, "x y z x y " * 90, "b" * 99, "c " * 13, "c " * 12]
+    rows = [(n, t) for n, t in enumerate([*bodies, *("before it " + t + " after it" for t in bodies), *(t[5:] for t in bodies), *bodies[:4], "", "", " "])]
+    want = collections.Counter((i, *x) for (i, _), x in brute(rows).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(tuple(r) for r in op.cut_digests(docs).collect()) == want
+    monkeypatch.setattr(_repeats, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(_repeats, "FLUSH_BYTES", 2_000)
+    monkeypatch.setattr(_repeats, "BUCKET_BYTES", 2_000)
+    monkeypatch.setattr(_repeats, "PARTITIONS", 3)
+    assert collections.Counter(tuple(r) for r in op.cut_digests(docs).collect()) == want
+
+
+_PEAK = """
+import resource, sys
+from plumbline.llm import suffixes, superkmers
+op = {"suffixes": suffixes, "superkmers": superkmers}[sys.argv[1]]
+text = sys.argv[2] * (25_000_000 // len(sys.argv[2]))
+for flush in op._flushes(iter([(1, text + " end"), (2, "begin " + text)]), None):
+    flush.decide()
+    assert len(flush.hash) < 1000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+@pytest.mark.parametrize("op", ["suffixes", "superkmers"])
+@pytest.mark.parametrize("unit", ["a", "word "])
+def test_memory_of_constant_texts(op, unit):
+    """25 MB of one character or one word: runs alike that follow each other aren't kept one by one."""
+    out = subprocess.run([sys.executable, "-c", _PEAK, op, unit], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))})
+    assert int(out.stdout) < 800  # MB
+
+
+def test_copies_of_whole_texts_are_one_row_each(spark):
+    """Whatever the number of strings in a text and of buckets, a copy costs one row of spans."""
+    rng = random.Random(2)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(400)) for _ in range(3)]
+    docs = spark.createDataFrame([(i, texts[i % 3]) for i in range(300)], "doc_id long, text string")
+    for op in (suffixes, superkmers):
+        base, _ = op.distinct_documents(docs)
+        spans = op.repeat_spans(base)
+        assert spans.count() == 297
+        assert all(r.n_removed > 0 for r in op.cut_digests(docs).collect() if r.doc_id >= 3)
+
+
 def test_deduplicated_keeps_columns_and_code_points(odd):
     out = suffixes.deduplicated(odd)
     assert out.columns == odd.columns
@@ -293,20 +348,64 @@ def test_token_counts(odd, none, documents):
     assert tokenfile.count_document_tokens(none).collect() == []
 
 
-def test_scan_stitches_blocks(spark, tmp_path):
-    rng = np.random.default_rng(4)
-    tokens = np.where(rng.random(5000) < 0.01, tokenfile.EOD, rng.integers(0, 50_000, 5000)).astype("<u2")
-    tokens[[0, 1, 63, 64, 127, 128]] = tokenfile.EOD
-    tokens[-3:] = 5
-    (tmp_path / "flat.bin").write_bytes(tokens.tobytes())
+def _token_documents(tokens, eod):
     want, start = [], 0
-    for end in np.flatnonzero(tokens == tokenfile.EOD).tolist():
+    for end in np.flatnonzero(tokens == eod).tolist():
         want.append((len(want), start, end - start, True))
         start = end + 1
-    want.append((len(want), start, len(tokens) - start, False))
-    for block in (64, 77, 10_000):
-        got = tokenfile.scan(tokenfile.read_token_files(spark, str(tmp_path), block_tokens=block)).orderBy("ordinal").collect()
-        assert [(r.ordinal, r.token_start, r.n_tokens, r.closed) for r in got] == want
+    return want + [(len(want), start, len(tokens) - start, False)] * (start < len(tokens))
+
+
+def _told(df):
+    return [(r.ordinal, r.token_start, r.n_tokens, r.closed) for r in df.orderBy("ordinal").collect()]
+
+
+@pytest.mark.parametrize("eod,kind", [(tokenfile.EOD, "<u2"), (0, "<u2"), (0x4141, "<u2"), (100_257, "<u4"), (0, "<u4"), (0x41414141, "<u4")])
+def test_scan_of_flat_files(spark, tmp_path, eod, kind):
+    """Splits and blocks that end within tokens, identifiers that overlap themselves, files with and without an unclosed end."""
+    rng = np.random.default_rng(4)
+    width = int(kind[-1])
+    tokens = np.where(rng.random(3000) < 0.02, eod, rng.integers(0, 50_000, 3000)).astype(kind)
+    if eod == 0x4141 or eod == 0x41414141:  # single bytes of it all over
+        tokens[rng.random(3000) < 0.3] = 0x41 << 8 * (width - 1)
+        tokens[rng.random(3000) < 0.3] = 0x41
+    tokens[[0, 1, 63, 64, 127, 128]] = eod
+    for k, tail in enumerate((tokens, np.append(tokens, np.array([eod], kind)), np.append(tokens, np.array([5, 5], kind)), np.append(tokens, np.array([0xC4], kind)))):
+        where = tmp_path / str(k)
+        where.mkdir()
+        (where / "flat.bin").write_bytes(tail.tobytes())
+        want = _token_documents(tail, eod)
+        blocks = lambda n, data=tail.tobytes(): [("s", i, data[at : at + n]) for i, at in enumerate(range(0, len(data), n))]
+        for n in (1, 7, 1001)[k % 3 : k % 3 + 1]:
+            assert _told(tokenfile.scan(spark.createDataFrame([*blocks(n), ("s", 10**6, None)], "shard string, block_no long, payload binary").repartition(3), eod, width)) == want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        try:
+            for block in (1, 1 << 20)[k % 2 :]:
+                assert _told(tokenfile.scan_files(spark, str(where), eod, width, block)) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_flat_files_hold_tokens_alone(spark, odd, tmp_path):
+    """What is written are flat files of identifiers; ids lie beside them in the same order, splits or not."""
+    path = str(tmp_path / "t")
+    tokenfile.write_token_files(odd.repartition(2, "text"), path)
+    enc = tokenfile.encoder(f"{tokenfile.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    texts = collections.Counter(tuple(enc.encode_ordinary(r.text or "")) for r in odd.collect())
+    found = collections.Counter()
+    for f in (tmp_path / "t").glob("kind=tokens/shard=*/part-*"):
+        tokens = np.frombuffer(f.read_bytes(), "<u2")
+        assert tokens[-1] == tokenfile.EOD
+        for _, at, n, _ in _token_documents(tokens, tokenfile.EOD):
+            found[tuple(tokens[at : at + n].tolist())] += 1
+    assert found == texts
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10")
+    try:
+        ids = tokenfile.read_ids(spark, f"{path}/kind=ids").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert collections.Counter(r.doc_id for r in ids) == collections.Counter(r.doc_id for r in odd.collect())
+    assert len({(r.shard, r.ordinal) for r in ids}) == len(ids)
 
 
 def test_long_text_tokens_like_whole():
@@ -532,3 +631,133 @@ def test_toxicity_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "_CHUNK", 100)
     assert np.allclose(toxicity.score_texts(model, texts), want)
     assert want[0, 0] > 0.9 > want[1, 0]
+
+
+def test_cosine_hash_against_plain_sums():
+    """The low-frequency corner by the cosine transform's definition, cell by cell."""
+    rng = random.Random(8)
+    for height in (1, 5, 31, 32, 33, 100):
+        image = np.array([[rng.randrange(256) for _ in range(64)] for _ in range(height)], np.uint8)
+        n, low = media.CELLS, media.LOW
+
+        def bounds(size, i):
+            return (i * size // n, (i + 1) * size // n) if size >= n else (i * size // n, i * size // n + 1)
+
+        cells = [[0.0] * n for _ in range(n)]
+        for i in range(n):
+            for j in range(n):
+                (a, b), (c, d) = bounds(height, i), bounds(64, j)
+                cells[i][j] = sum(int(image[y, x]) for y in range(a, b) for x in range(c, d)) / ((b - a) * (d - c))
+        cos = [[math.cos(math.pi * (2 * x + 1) * k / (2 * n)) for x in range(n)] for k in range(low)]
+        corner = [round(sum(cells[y][x] * cos[u][y] * cos[v][x] for y in range(n) for x in range(n)), 6) for u in range(low) for v in range(low)]
+        median = sorted(corner[1:])[len(corner[1:]) // 2]
+        bits = "".join("1" if x > median else "0" for x in corner)
+        assert media.cosine_hash(image) == f"{int(bits, 2):016x}"
+
+
+def plain_fingerprint(data):
+    if not data:
+        return "3::"
+    rolls = []
+    for i in range(len(data)):
+        last = [data[i - k] if i >= k else 0 for k in range(7)]  # the newest first
+        shifted = 0
+        for k, x in enumerate(last):
+            shifted ^= (x << (5 * k)) & 0xFFFFFFFF
+        rolls.append((sum(last) + sum(x * (7 - k) for k, x in enumerate(last)) + shifted) & 0xFFFFFFFF)
+
+    def letters(block, most):
+        cuts = [i + 1 for i, r in enumerate(rolls) if r % block == block - 1][: most - 1]
+        edges = [0, *cuts] + [len(data)] * (not cuts or cuts[-1] < len(data))
+        return "".join(chr(ctph.LETTERS[xxhash.xxh64(data[a:b]).intdigest() % 64]) for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and len(letters(block, 64)) < 32:
+        block //= 2
+    return f"{block}:{letters(block, 64)}:{letters(2 * block, 32)}"
+
+
+def test_fingerprint_against_plain_rolling_hash(monkeypatch):
+    rng = random.Random(6)
+    texts = [b"", b"a", b"abcdefg", b"a" * 500, bytes(rng.randrange(256) for _ in range(3000)), b"\xff" * 100, *(("".join(rng.choice("abcde \n") for _ in range(n))).encode() for n in (8, 100, 700, 4000, 20_000))]
+    want = [plain_fingerprint(x) for x in texts]
+    assert [ctph.fingerprint(x) for x in texts] == want
+    monkeypatch.setattr(ctph, "CHUNK_BYTES", 97)
+    assert [ctph.fingerprint(x) for x in texts] == want
+
+
+_PEAK_CTPH = """
+import resource
+from plumbline.llm import ctph
+for unit in (b"a", b"some words of a text "):
+    ctph.fingerprint(unit * (40_000_000 // len(unit)))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+def test_memory_of_fingerprints():
+    """40 MB of text are hashed chunk by chunk."""
+    out = subprocess.run([sys.executable, "-c", _PEAK_CTPH], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))})
+    assert int(out.stdout) < 300  # MB
+
+
+def test_scores_against_plain_sums():
+    """Expected severity from the definition: a sigmoid of threshold less the sum of the weights of the words that a text holds."""
+    rng = random.Random(9)
+    known = ["idiot", "scum", "été", "x1", "zebra"]
+    weights = dict(zip(known, (2.0, 3.0, -1.0, 0.5, 1.5), strict=True))
+    hashes = toxicity._word_hashes([" ".join(known).encode()])[0]
+    order = np.argsort(hashes)
+    model = toxicity.OrdinalModel(hashes[order], np.array([weights[known[i]] for i in order]), np.array([1.0, 2.5, 4.0]))
+    texts = ["", "Idiot, idiot! SCUM", "ÉTÉ été x1x1 x1", *(" ".join(rng.choice([*known, "other", "words", "Zebra-x1"]) for _ in range(rng.randrange(30))) for _ in range(40))]
+    for text, p in zip(texts, toxicity.score_texts(model, texts), strict=True):
+        held = {w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text)}
+        score = sum(weights.get(w, 0.0) for w in held)
+        assert np.allclose(p, [1 / (1 + math.exp(t - score)) for t in (1.0, 2.5, 4.0)], atol=1e-12)
+
+
+def test_minhash_of_very_long_words(spark):
+    """A word longer than a piece is one word; words that a polynomial hash confuses are two."""
+    thue, other = [0], [1]
+    while len(thue) < 4096:
+        thue, other = thue + other, other + thue
+    t, u = ("".join("ab"[b] for b in x) for x in (thue, other))
+    rows = [(1, "a" * 600_000 + " b c d"), (2, f"{t} x y z"), (3, f"{u} x y z"), (4, "w" * 600_000 + " x"), (5, "w" * 600_000 + " y"), (6, "w" * 600_000 + " x"), (7, "p q " + "v" * 700_000 + " r s " + "v" * 700_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {1: (2, 1), 2: (2, 2), 3: (2, 3), 4: (1, 4), 5: (1, 5), 6: (1, 4), 7: (4, 7)}
+
+
+CLASHING = ["uid", "sha", "_id", "_sha", "_s", "_uid", "_c0", "_copies", "_copy", "_rate", "_source", "_chance", "row", "rate", "chance", "copies", "packed", "spans", "start", "end", "starts", "ends", "first", "n", "root", "rep", "source_size", "target", "place", "tie", "part"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents whose other columns are named as the operators' own."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "a"), (2, "before " + words, "b"), (2, "other text under an id", "b"), (None, None, None), (3, words, "a"), (3, words, "a")]
+    names = "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(i, t, s, "en", 1, *(f"{c}{k}" for c in CLASHING)) for k, (i, t, s) in enumerate(rows)], names)
+
+
+def test_clashing_columns(spark, clashing):
+    """Operators that keep the input's columns keep these as they are; the others take no notice of them."""
+    given = {tuple(r[c] for c in CLASHING): r for r in clashing.collect()}
+    plain = clashing.select("doc_id", "text", "source", "lang", "n_chars")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    keepers = {
+        "mixed": mixing.mixed, "minhash": minhash.without_near_duplicates, "toxicity": lambda d: toxicity.reject_toxic(d, labels), "suffixes": suffixes.deduplicated, "superkmers": superkmers.deduplicated,
+    }
+    for name, keep in keepers.items():
+        out = keep(clashing)
+        assert out.columns == clashing.columns, name
+        rows = out.collect()
+        assert rows and all(given[tuple(r[c] for c in CLASHING)].doc_id == r.doc_id for r in rows), name
+        assert collections.Counter((r.doc_id, r.text) for r in rows) == collections.Counter((r.doc_id, r.text) for r in keep(plain).collect()), name
+    for name, run in {
+        "mix": mixing.mix, "op8": minhash.near_duplicate_components, "op5": superkmers.cut_digests, "op10": suffixes.cut_digests, "op9": ctph.fingerprint_documents, "op2": lambda d: media.media_features(media.to_media(d)),
+        "op4": lambda d: toxicity.score(d, labels), "op7": lambda d: tokenfile.count_document_tokens(d).drop("shard", "ordinal", "token_start"),
+    }.items():
+        assert collections.Counter(map(tuple, run(clashing).collect())) == collections.Counter(map(tuple, run(plain).collect())), name
+    assert packing.pack_documents(clashing).count() == packing.pack_apart(clashing).count() == clashing.count()
