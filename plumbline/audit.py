@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plumbline.catalog import Table
+from plumbline.operators import scans
 
 
 def duplicates(df: DataFrame, columns: list[str], where: str | None = None) -> DataFrame:
@@ -37,12 +38,12 @@ def nulls(df: DataFrame, column: str) -> DataFrame:
 
 
 def overlaps(df: DataFrame, keys: list[str], low: str, high: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Rows of half-open ranges that begin before an earlier one of their key has ended (WITHOUT OVERLAPS): one sorted pass, no pairs.
+    """Rows of half-open ranges that begin before an earlier one of their key has ended (WITHOUT OVERLAPS): one sorted scan, no pairs.
 
     Of ranges that begin together, the first by `ties` (the least upper bound without them) counts as the earlier one.
     """
-    w = Window.partitionBy(*keys).orderBy(low, *(ties or [high])).rowsBetween(Window.unboundedPreceding, -1)
-    return df.filter(F.col(low) < F.col(high)).withColumn("_reach", F.max(high).over(w)).filter(F.col("_reach") > F.col(low)).drop("_reach")
+    reached = scans.carried(df.filter(F.col(low) < F.col(high)), keys, [low, *(ties or [high])], high, "_reach")
+    return reached.filter(F.col("_reach") > F.col(low)).drop("_reach")
 
 
 def transitions(before: DataFrame, after: DataFrame, keys: list[str], column: str, allowed: list[tuple[str, str]]) -> DataFrame:

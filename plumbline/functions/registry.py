@@ -6,6 +6,7 @@ Every builder takes Columns (or plain values where the argument is a constant) a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -529,6 +530,59 @@ def hstore_slice(a: Column, keys: list[str]) -> Column:
     return F.map_filter(a, lambda k, _: k.isin(*keys))
 
 
+def hstore_defined(a: Column, key: str) -> Column:
+    """Whether the key is there and its value isn't null."""
+    return F.coalesce(F.try_element_at(a, F.lit(key)).isNotNull(), F.lit(False))
+
+
+def hstore_exists_any(a: Column, keys: list[str]) -> Column:
+    """a ?| keys."""
+    return F.arrays_overlap(F.map_keys(a), F.array(*map(F.lit, keys)))
+
+
+def hstore_exists_all(a: Column, keys: list[str]) -> Column:
+    """a ?& keys."""
+    return F.size(F.array_except(F.array(*map(F.lit, keys)), F.map_keys(a))) == 0
+
+
+def hstore_delete_keys(a: Column, keys: list[str]) -> Column:
+    return F.map_filter(a, lambda k, _: ~k.isin(*keys))
+
+
+def hstore_delete_pairs(a: Column, b: Column) -> Column:
+    """a - b: pairs that b has too go."""
+    return F.map_filter(a, lambda k, v: ~(F.map_contains_key(b, k) & v.eqNullSafe(F.element_at(b, k))))
+
+
+def hstore_contains(a: Column, b: Column) -> Column:
+    """a @> b."""
+    return F.forall(F.map_entries(b), lambda e: F.map_contains_key(a, e["key"]) & F.try_element_at(a, e["key"]).eqNullSafe(e["value"]))
+
+
+def hstore_to_array(a: Column) -> Column:
+    """Keys and values in turn."""
+    return F.flatten(F.transform(F.map_entries(a), lambda e: F.array(e["key"], e["value"])))
+
+
+def hstore_to_matrix(a: Column) -> Column:
+    return F.transform(F.map_entries(a), lambda e: F.array(e["key"], e["value"]))
+
+
+def hstore_of(keys: Column, values: Column) -> Column:
+    """hstore(keys, values)."""
+    return F.map_from_arrays(keys, values)
+
+
+def hstore_of_row(row: Column, names: list[str]) -> Column:
+    """hstore(record): the fields as text."""
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[row.getField(n).cast("string") for n in names]))
+
+
+def populate_record(row: Column, a: Column, types: dict[str, str]) -> Column:
+    """row #= a: fields that a has take its values, cast."""
+    return F.struct(*[F.when(F.map_contains_key(a, n), F.try_element_at(a, F.lit(n)).cast(t)).otherwise(row.getField(n).cast(t)).alias(n) for n, t in types.items()])
+
+
 def nlevel(path: Column) -> Column:
     return F.when(path == "", 0).otherwise(F.size(F.split(path, r"\.")))
 
@@ -550,6 +604,93 @@ def lca(a: Column, b: Column) -> Column:
     return F.array_join(F.slice(x, F.lit(1), F.array_max(lengths)), ".")
 
 
+def subltree(path: Column, start: int, end: int) -> Column:
+    return F.array_join(F.slice(F.split(path, r"\."), start + 1, end - start), ".")
+
+
+def ltree_index(path: Column, part: str) -> Column:
+    """The place of the first occurrence of a path within another, from 0; -1 if there is none."""
+    labels, wanted = F.split(path, r"\."), F.array(*map(F.lit, part.split(".")))
+    starts = F.filter(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: F.slice(labels, i + 1, F.size(wanted)) == wanted)
+    return F.coalesce(F.try_element_at(starts, F.lit(1)), F.lit(-1))
+
+
+def lquery(pattern: str) -> str:
+    """The regular expression of an lquery: labels with * prefixes, |, @ (any case) and !, and * of {n}, {n,}, {n,m} or {,m} levels."""
+    parts = []
+    for item in pattern.split("."):
+        levels = re.fullmatch(r"\*(?:\{(\d*)(,?)(\d*)\})?", item)
+        if levels:
+            low, comma, high = levels.groups()
+            bounds = (int(low or 0), int(high) if high else None) if comma else (int(low), int(low)) if low else (0, None)
+            parts.append(f"(?:[^.]+(?:\\.|$)){{{bounds[0]},{'' if bounds[1] is None else bounds[1]}}}")
+            continue
+        refused = item.startswith("!")
+        options = []
+        for label in item.lstrip("!").split("|"):
+            word, flags = re.fullmatch(r"(\w+)([*@%]*)", label).groups()
+            text = re.escape(word) + ("[^.]*" if "*" in flags else "")
+            options.append(f"(?i:{text})" if "@" in flags else text)
+        one = "(?:" + "|".join(options) + ")(?:\\.|$)"
+        parts.append(f"(?!{one})[^.]+(?:\\.|$)" if refused else one)
+    return "^" + "".join(parts) + "$"
+
+
+def ltree_matches(path: Column, pattern: str) -> Column:
+    """path ~ lquery."""
+    return path.rlike(lquery(pattern))
+
+
+def cube_union(a: Column, b: Column) -> Column:
+    """The least box (lower, upper arrays) that holds two."""
+    low = F.zip_with(a["lower"], b["lower"], lambda x, y: F.least(x, y))
+    return F.struct(low.alias("lower"), F.zip_with(a["upper"], b["upper"], lambda x, y: F.greatest(x, y)).alias("upper"))
+
+
+def cube_overlaps(a: Column, b: Column) -> Column:
+    meets = F.zip_with(F.zip_with(a["lower"], b["upper"], lambda x, y: x <= y), F.zip_with(b["lower"], a["upper"], lambda x, y: x <= y), lambda p, q: p & q)
+    return F.forall(meets, lambda x: x)
+
+
+def cube_contains(a: Column, b: Column) -> Column:
+    inside = F.zip_with(F.zip_with(a["lower"], b["lower"], lambda x, y: x <= y), F.zip_with(b["upper"], a["upper"], lambda x, y: x <= y), lambda p, q: p & q)
+    return F.forall(inside, lambda x: x)
+
+
+def taxicab_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def chebyshev_distance(a: Column, b: Column) -> Column:
+    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+
+def uuid_v5(namespace: str, name: Column) -> Column:
+    """uuid_generate_v5: a name in a namespace, by SHA-1."""
+    h = F.sha1(F.concat(F.lit(bytes.fromhex(namespace.replace("-", ""))), name.cast("binary")))
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+#: Namespaces of names (fixed values of RFC 4122).
+UUID_DNS, UUID_URL, UUID_OID, UUID_X500 = (f"6ba7b81{i}-9dad-11d1-80b4-00c04fd430c8" for i in (0, 1, 2, 4))
+
+
+def isbn10_to_13(x: Column) -> Column:
+    """The thirteen digits of a ten-digit book number."""
+    head = F.concat(F.lit("978"), F.substring(F.regexp_replace(x, "[- ]", ""), 1, 9))
+    total = sum((F.substring(head, i + 1, 1).try_cast("int") * (1 if i % 2 == 0 else 3) for i in range(12)), F.lit(0))
+    return F.concat(head, ((10 - total % 10) % 10).cast("string"))
+
+
+def issn_ok(x: Column) -> Column:
+    """Eight digits weighted 8 to 1 whose sum is a multiple of eleven; X is ten."""
+    digits = F.upper(F.regexp_replace(x, "[- ]", ""))
+    value = lambda i: F.when(F.substring(digits, i + 1, 1) == "X", 10).otherwise(F.substring(digits, i + 1, 1).try_cast("int"))
+    total = sum((value(i) * (8 - i) for i in range(8)), F.lit(0))
+    return F.coalesce(digits.rlike("^[0-9]{7}[0-9X]$") & (total % 11 == 0), F.lit(False))
+
+
 def cube_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
@@ -661,6 +802,13 @@ POSTGRES |= {
     "levenshtein_less_equal": levenshtein_less_equal, "strict_word_similarity": strict_word_similarity,
 }
 
+POSTGRES |= {
+    "defined": hstore_defined, "exists_any": hstore_exists_any, "exists_all": hstore_exists_all, "delete_keys": hstore_delete_keys, "delete_pairs": hstore_delete_pairs, "hs_contains": hstore_contains, "hs_contained": lambda a, b: hstore_contains(b, a),
+    "skeys": lambda a: F.explode(F.map_keys(a)), "svals": lambda a: F.explode(F.map_values(a)), "each": F.explode, "hstore": hstore_of, "hstore_from_record": hstore_of_row, "hstore_to_array": hstore_to_array, "hstore_to_matrix": hstore_to_matrix,
+    "hstore_to_jsonb": lambda a: F.parse_json(F.to_json(a)), "populate_record": populate_record, "subltree": subltree, "index": ltree_index, "ltree_matches": ltree_matches, "ltree_isparent_of": lambda a, b: is_ancestor(b, a), "ltree2text": lambda p: p, "text2ltree": lambda p: p,
+    "cube_union": cube_union, "cube_overlap": cube_overlaps, "cube_contains": cube_contains, "distance_taxicab": taxicab_distance, "distance_chebyshev": chebyshev_distance, "uuid_generate_v4": F.uuid, "uuid_generate_v5": uuid_v5, "isbn13": isbn10_to_13, "is_valid_issn": issn_ok,
+}
+
 #: Reserved for sessions and servers, without a meaning for data; named here so that a lookup says so.
 WITHOUT_DATA = frozenset(
     "BENCHMARK CONNECTION_ID FOUND_ROWS GET_LOCK GTID_SUBSET GTID_SUBTRACT ICU_VERSION IS_FREE_LOCK IS_USED_LOCK LAST_INSERT_ID LOAD_FILE MASTER_POS_WAIT NAME_CONST PS_CURRENT_THREAD_ID PS_THREAD_ID RELEASE_ALL_LOCKS RELEASE_LOCK ROLES_GRAPHML SLEEP SOURCE_POS_WAIT STATEMENT_DIGEST STATEMENT_DIGEST_TEXT UUID_SHORT VALIDATE_PASSWORD_STRENGTH WAIT_FOR_EXECUTED_GTID_SET".split()

@@ -58,6 +58,35 @@ def json_array(values: list[Column], absent_on_null: bool = False) -> Column:
     return F.to_json(F.filter(array, lambda x: x.isNotNull()) if absent_on_null else array)
 
 
+class DuplicateKey(ValueError):
+    pass
+
+
+def json_object_unique(pairs: list[tuple[str, Column]], absent_on_null: bool = False) -> Column:
+    """JSON_OBJECT(... WITH UNIQUE KEYS): keys are constants, so doubles raise DuplicateKey before anything runs."""
+    keys = [k for k, _ in pairs]
+    if double := sorted({k for k in keys if keys.count(k) > 1}):
+        raise DuplicateKey(", ".join(double))
+    return json_object(dict(pairs), absent_on_null)
+
+
+def json_scalar(x: Column) -> Column:
+    """JSON_SCALAR: a number or truth value as it is, anything else as a JSON string; null for null."""
+    return F.when(x.isNotNull(), F.to_json(F.to_variant_object(F.array(x))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(x)))) - 2))
+
+
+def json_serialize(doc: Column) -> Column:
+    """JSON_SERIALIZE: the document's text without insignificant blanks; null for null, an error for what isn't JSON."""
+    return F.to_json(F.parse_json(doc))
+
+
+def json_array_subquery(df: DataFrame, value: Column, *order: Column) -> DataFrame:
+    """JSON_ARRAY(SELECT value ... ORDER BY order): one row, an array of all non-null values, [] without rows."""
+    keys = [o.alias(f"k{i}") for i, o in enumerate(order)] or [value.alias("k0")]
+    sorted_values = F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(*keys, value.alias("v"))))), lambda s: s["v"])
+    return df.agg(F.to_json(sorted_values).alias("value"))
+
+
 @dataclass(frozen=True)
 class Path:
     """A JSON_TABLE column: name, type and path below the row; exists: whether the path is there; default ON EMPTY, on_error ON ERROR."""

@@ -182,3 +182,83 @@ def outfile(spark: SparkSession, d: str) -> DataFrame:
     """SELECT ... INTO OUTFILE and LOAD DATA, nulls and all."""
     sources.outfile(table(spark, d, "nation").selectExpr("n_nationkey", "if(n_regionkey = 1, null, n_name) AS n_name"), where := scratch(spark, "outfile"))
     return sources.load_data(spark, where, "n_nationkey int, n_name string")
+
+
+@query("SELECT n_nationkey, 'key,name' AS ks, n_regionkey > 1 AS held, CASE WHEN n_regionkey > 1 THEN 'name' ELSE 'key,name' END AS minus, n_regionkey = 1 AS twin, 'key,' || n_nationkey || ',name,' || n_name AS flat, n_nationkey + 1 AS key_up FROM nation")
+def ext_hstore(spark: SparkSession, d: str) -> DataFrame:
+    m = F.create_map(F.lit("key"), F.col("n_nationkey").cast("string"), F.lit("name"), F.col("n_name"))
+    other = F.create_map(F.lit("key"), F.when(F.col("n_regionkey") > 1, F.col("n_nationkey")).otherwise(-1).cast("string"))
+    keys = lambda x: F.array_join(F.array_sort(F.map_keys(x)), ",")
+    record = fn.populate_record(F.struct("n_nationkey", "n_name"), F.create_map(F.lit("n_nationkey"), (F.col("n_nationkey") + 1).cast("string")), {"n_nationkey": "int", "n_name": "string"})
+    return table(spark, d, "nation").select(
+        "n_nationkey", keys(m).alias("ks"), fn.hstore_contains(m, other).alias("held"), keys(fn.hstore_delete_pairs(m, other)).alias("minus"), fn.hstore_contains(F.create_map(F.lit("k"), F.col("n_regionkey")), F.create_map(F.lit("k"), F.lit(1))).alias("twin"),
+        F.array_join(fn.hstore_to_array(m), ",").alias("flat"), record["n_nationkey"].alias("key_up"),
+    )
+
+
+@query("SELECT n_nationkey, 3 AS levels, 'r' || n_regionkey || '.n' AS part, 1 AS at, n_regionkey = 2 AS below, n_regionkey IN (1, 2) AS matched, 'top' AS common FROM nation")
+def ext_ltree(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("top.r"), F.col("n_regionkey").cast("string"), F.lit(".n"))
+    return table(spark, d, "nation").select(
+        "n_nationkey", fn.nlevel(path).alias("levels"), fn.subltree(path, 1, 3).alias("part"), F.when(fn.ltree_index(path, "zz") == -1, 1).alias("at"), fn.is_ancestor(F.lit("top.r2"), path).alias("below"),
+        fn.ltree_matches(path, "*.R1@|r2.*{1,}").alias("matched"), fn.lca(path, F.lit("top.x.y")).alias("common"),
+    )
+
+
+@query("SELECT n_nationkey, strip_accents('Crème ' || n_name || ' Århus') AS plain FROM nation")
+def ext_unaccent(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", fn.unaccent(F.concat(F.lit("Crème "), "n_name", F.lit(" Århus"))).alias("plain"))
+
+
+@query("SELECT n_nationkey, round(sqrt(power(n_nationkey - 3.0, 2) + power(n_regionkey - 4.0, 2)), 6) AS euclid, abs(n_nationkey - 3.0) + abs(n_regionkey - 4.0) AS taxi, greatest(abs(n_nationkey - 3.0), abs(n_regionkey - 4.0)) AS most, n_nationkey <= 5 AS meets, n_nationkey BETWEEN 0 AND 4 AS holds FROM nation")
+def ext_cube(spark: SparkSession, d: str) -> DataFrame:
+    point = F.array(F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double"))
+    centre = F.array(F.lit(3.0), F.lit(4.0))
+    box = F.struct(F.array(F.lit(0.0), F.lit(0.0)).alias("lower"), F.array(F.lit(5.0), F.lit(9.0)).alias("upper"))
+    own = F.struct(point.alias("lower"), F.transform(point, lambda x: x + 1).alias("upper"))
+    return table(spark, d, "nation").select(
+        "n_nationkey", F.round(fn.cube_distance(point, centre), 6).alias("euclid"), fn.taxicab_distance(point, centre).alias("taxi"), fn.chebyshev_distance(point, centre).alias("most"), fn.cube_overlaps(box, own).alias("meets"), fn.cube_contains(box, own).alias("holds"),
+    )
+
+
+@query("SELECT n_nationkey, round(2 * 6378168.0 * asin(least(1.0, sqrt(power(sin(radians(n_regionkey) / 2), 2) + cos(0.0) * cos(radians(n_regionkey)) * power(sin(radians(n_nationkey) / 2), 2)))), 3) AS metres FROM nation")
+def ext_earthdistance(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "nation")
+    return t.select("n_nationkey", F.round(fn.earth_distance(F.lit(0.0), F.lit(0.0), F.col("n_regionkey").cast("double"), F.col("n_nationkey").cast("double")), 3).alias("metres"))
+
+
+@query("SELECT * FROM (VALUES ('0-306-40615-2', '9780306406157', true, true, false)) AS t(given, longer, valid, journal, other)")
+def ext_isn(spark: SparkSession, d: str) -> DataFrame:
+    given = spark.createDataFrame([("0-306-40615-2",)], "given string")
+    longer = fn.isbn10_to_13(F.col("given"))
+    return given.select("given", longer.alias("longer"), fn.isbn13_ok(longer).alias("valid"), fn.issn_ok(F.lit("0378-5955")).alias("journal"), fn.issn_ok(F.lit("0378-5954")).alias("other"))
+
+
+@query("SELECT '2ed6657d-e927-568b-95e1-2665a8aea6a2' AS v5, true AS v4")
+def ext_uuid(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(1).select(fn.uuid_v5(fn.UUID_DNS, F.lit("www.example.com")).alias("v5"), F.uuid().rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$").alias("v4"))
+
+
+@query("SELECT p_partkey, max(p_retailprice) OVER w AS most, round(avg(p_size) OVER t, 6) AS mean, count(p_size) OVER g AS n FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW), t AS (PARTITION BY p_brand ORDER BY p_size ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES), g AS (PARTITION BY p_brand ORDER BY p_size ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP)")
+def win_exclude_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    out = windows.aggregate_excluding(table(spark, d, "part"), ["p_brand"], [size, F.col("p_partkey")], F.col("p_retailprice"), "most", "CURRENT ROW")
+    out = windows.aggregate_excluding(out, ["p_brand"], [size], size, "mean", "TIES", "avg")
+    return windows.aggregate_excluding(out, ["p_brand"], [size], size, "n", "GROUP", "count").select("p_partkey", "most", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("SELECT p_partkey, nth_value(p_partkey, 2) OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_last FROM part")
+def win_from_last(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", windows.nth_from_last(F.col("p_partkey"), 2, ["p_brand"], [F.desc("p_size"), F.desc("p_partkey")]).alias("second_last"))
+
+
+@query("SELECT '[\"ALGERIA\",\"ETHIOPIA\"]' AS names, '{\"a\":[1,2]}' AS text, '7' AS number, '\"x\"' AS word, true AS refused WHERE (SELECT count(*) FROM nation) > 0")
+def json_more_constructors(spark: SparkSession, d: str) -> DataFrame:
+    """JSON_ARRAY of a subquery, JSON_SERIALIZE, JSON_SCALAR, WITH UNIQUE KEYS."""
+    names = json.json_array_subquery(spark.createDataFrame([("ETHIOPIA",), (None,), ("ALGERIA",)], "n string"), F.col("n"))
+    try:
+        json.json_object_unique([("a", F.lit(1)), ("a", F.lit(2))])
+        refused = False
+    except json.DuplicateKey:
+        refused = True
+    return names.select(F.col("value").alias("names"), json.json_serialize(F.lit('{"a": [1,  2]}')).alias("text"), json.json_scalar(F.lit(7)).alias("number"), json.json_scalar(F.lit("x")).alias("word"), F.lit(refused).alias("refused"))

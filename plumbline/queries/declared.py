@@ -230,3 +230,26 @@ def ddl_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Column lengths and generated columns from DDL."""
     t = parse("CREATE TABLE r (w int PRIMARY KEY, h int, area int GENERATED ALWAYS AS (w * h) STORED, label varchar(5))")["r"]
     return spark.createDataFrame([("r", c.name, c.type, c.length or len(c.generated)) for c in t.columns if c.length or c.generated], "t string, column_name string, data_type string, length int")
+
+
+@query(_rows("used", *((f"{t}.{c}",) for t, c in (("orders", "o_orderkey"), ("orders", "o_custkey"), ("orders", "o_orderstatus"), ("customer", "c_custkey"), ("customer", "c_nationkey"), ("nation", "n_nationkey")))))
+def columns_used(spark: SparkSession, d: str) -> DataFrame:
+    names = _views(spark, d, "orders", "customer", "nation")
+    text = "SELECT o_orderkey FROM declared_orders JOIN declared_customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND c_nationkey IN (SELECT n_nationkey FROM declared_nation)"
+    return spark.createDataFrame([(c,) for c in sorted(facts.columns_used(spark.sql(text), names))], "used string")
+
+
+@query(_rows("name, type, source", ("since", "timestamp_ntz", "orders.o_orderdate"), ("who", "bigint", "orders.o_custkey"), ("state", "string", "orders.o_orderstatus")))
+def parameter_types(spark: SparkSession, d: str) -> DataFrame:
+    text = "SELECT o_orderkey FROM {orders} WHERE o_orderdate >= :since AND :who = o_custkey AND o_orderstatus IN (:state, 'P') AND length(:other) > 3"
+    found = facts.parameter_types(spark, text, {"orders": table(spark, d, "orders")})
+    return spark.createDataFrame([(n, *t) for n, t in sorted(found.items())], "name string, type string, source string")
+
+
+@query(_rows("state, condition, line, col", ("42703", "UNRESOLVED_COLUMN.WITH_SUGGESTION", 2, 7), ("42601", "PARSE_SYNTAX_ERROR", 1, 1), ("42883", "UNRESOLVED_ROUTINE", 1, 8)))
+def diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """SQLSTATE, condition and place of an unknown column, a syntax error and an unknown function; a right statement has none."""
+    t = {"orders": table(spark, d, "orders")}
+    texts = ("SELECT o_orderkey FROM {orders}\nWHERE o_nothing = 1", "SELEC 1", "SELECT no_such_function(o_orderkey) FROM {orders}", "SELECT o_orderkey FROM {orders}")
+    found = [x for x in (facts.diagnose(spark, q, t) for q in texts) if x]
+    return spark.createDataFrame([(x.state, x.condition, x.line, x.column) for x in found], "state string, condition string, line int, col int")

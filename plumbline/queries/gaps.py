@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plumbline.functions import registry as fn
-from plumbline.operators import aggregates, json, predicates, ranges, recursive, rows, windows
+from plumbline.operators import aggregates, json, predicates, ranges, recursive, rows, scans, windows
 from plumbline.queries._registry import query
 from plumbline.session import table
 
@@ -130,7 +130,7 @@ def win_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS n FROM orders")
 def win_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", windows.count_distinct_over(F.col("o_orderpriority"), Window.partitionBy("o_custkey")).alias("n"))
+    return windows.count_distinct_whole(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderpriority"), "n").select("o_orderkey", "n")
 
 
 @query("SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS rk FROM part) WHERE rk <= 10")
@@ -279,12 +279,9 @@ def mysql_greatest_null(spark: SparkSession, d: str) -> DataFrame:
     "SELECT e.event_id, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = e.user_id AND o_orderdate = (SELECT max(o_orderdate) FROM orders WHERE o_custkey = e.user_id AND o_orderdate <= e.ts)) AS last_order FROM events e"
 )
 def join_as_of(spark: SparkSession, d: str) -> DataFrame:
-    """The last order at or before each event, by a union and one sorted pass a user, not by pairs."""
-    events = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("at"), "event_id", F.lit(None).cast("bigint").alias("o"), F.lit(1).alias("side"))
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"), F.lit(None).cast("bigint").alias("event_id"), F.col("o_orderkey").alias("o"), F.lit(0).alias("side"))
-    w = Window.partitionBy("k").orderBy("at", "side", "o").rowsBetween(Window.unboundedPreceding, 0)
-    both = events.unionByName(orders).withColumn("last_order", F.last("o", ignorenulls=True).over(w))
-    return both.filter("side = 1").select("event_id", "last_order")
+    """The last order at or before each event."""
+    events, orders = table(spark, d, "events").select("event_id", "user_id", "ts"), table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    return scans.as_of(events, orders, {"user_id": "o_custkey"}, ("ts", "o_orderdate"), "o_orderkey", "last_order").select("event_id", "last_order")
 
 
 @query("SELECT DISTINCT user_id, cast(n AS BIGINT) AS n FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 DAY OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s)")

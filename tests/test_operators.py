@@ -273,3 +273,27 @@ def test_distinct_on_and_distinct_sums_with_nulls(spark):
     assert sorted(r.s for r in rows.distinct_on(df, ["k"], [F.col("v")]).collect()) == ["b", "c"]
     w = Window.partitionBy("k")
     assert {(r.k, r.t) for r in df.select("k", windows.sum_distinct_over(F.col("v"), w, "bigint").alias("t")).collect()} == {(1, 2), (2, None)}
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 0])
+def test_scans_with_keys_cut_in_ranges(spark, hot_rows):
+    """A key in one window and one cut into pieces give the same, against brute force; null keys and values, ties, no rows."""
+    from plumbline.operators import scans
+
+    rng = random.Random(4)
+    data = [(rng.choice([1, 1, 1, 2, None]), rng.randrange(300), i, rng.choice([None, rng.randrange(1000)])) for i in range(600)]
+    df = spark.createDataFrame(data, "k int, at int, id int, v int").repartition(5)
+    for how, inclusive in (("max", False), ("max", True), ("last", False), ("last", True)):
+        want = {}
+        for k in (1, 2, None):
+            seen = None
+            for _, _, i, v in sorted((r for r in data if r[0] == k), key=lambda r: (r[1], r[2])):
+                after = v if seen is None else seen if v is None else max(seen, v) if how == "max" else v
+                want[i] = after if inclusive else seen
+                seen = after
+        got = {r.id: r.out for r in scans.carried(df, ["k"], ["at", "id"], "v", "out", how, inclusive, hot_rows).collect()}
+        assert got == want, (how, inclusive)
+    assert scans.carried(df.limit(0), ["k"], ["at", "id"], "v", "out", hot_rows=hot_rows).count() == 0
+    right = spark.createDataFrame([(1, 10, 7), (1, 50, 8), (1, 50, 9), (2, 100, 5)], "rk int, t int, x int")
+    got = {r.id: r.x for r in scans.as_of(df, right, {"k": "rk"}, ("at", "t"), "x", "x", hot_rows=hot_rows).collect()}
+    assert got == {i: max((t, x) for rk, t, x in [(1, 10, 7), (1, 50, 8), (1, 50, 9), (2, 100, 5), (k, -1, None)] if rk == k and t <= at)[1] for k, at, i, _ in data}
