@@ -809,6 +809,15 @@ POSTGRES |= {
     "cube_union": cube_union, "cube_overlap": cube_overlaps, "cube_contains": cube_contains, "distance_taxicab": taxicab_distance, "distance_chebyshev": chebyshev_distance, "uuid_generate_v4": F.uuid, "uuid_generate_v5": uuid_v5, "isbn13": isbn10_to_13, "is_valid_issn": issn_ok,
 }
 
+MYSQL |= {
+    "ST_GEOMETRYTYPE": geometry.geometry_type, "ST_DIMENSION": geometry.dimension, "ST_ISEMPTY": geometry.is_empty, "ST_INTERSECTS": geometry.polygons_meet, "ST_CROSSES": geometry.lines_meet, "ST_DISJOINT": geometry.polygons_disjoint, "ST_EQUALS": geometry.same_points,
+    "ST_ISSIMPLE": geometry.is_simple, "ST_ISVALID": geometry.is_valid, "ST_MAKEENVELOPE": geometry.make_envelope, "ST_ENVELOPE": geometry.envelope_ring, "ST_POINTATDISTANCE": geometry.point_at_distance, "ST_LINEINTERPOLATEPOINT": geometry.interpolate,
+    "ST_HAUSDORFFDISTANCE": geometry.hausdorff_distance, "ST_BUFFER": geometry.buffer_point, "ST_ASGEOJSON": geometry.as_geojson, "ST_GEOMFROMGEOJSON": geometry.from_geojson, "ST_POINTFROMGEOHASH": geometry.point_from_geohash, "ST_LATFROMGEOHASH": geometry.lat_from_geohash,
+    "ST_LONGFROMGEOHASH": geometry.long_from_geohash, "ST_GEOMETRYN": geometry.geometry_n, "ST_NUMGEOMETRIES": geometry.num_geometries, "ST_SRID": lambda g: F.when(g.isNotNull(), 0), "ST_SWAPXY": geometry.swap_xy, "ST_EXTERIORRING": lambda r: r,
+    "ST_NUMINTERIORRING": lambda r: F.when(r.isNotNull(), 0), "ST_NUMINTERIORRINGS": lambda r: F.when(r.isNotNull(), 0), "ST_VALIDATE": lambda r: F.when(geometry.is_valid(r), r),
+    **{f"ST_{n}FROM{t}": geometry.from_text for n in ("POINT", "LINE", "LINESTRING", "POLY", "POLYGON", "GEOMETRY") for t in ("TEXT", "TXT")},
+}
+
 #: Reserved for sessions and servers, without a meaning for data; named here so that a lookup says so.
 WITHOUT_DATA = frozenset(
     "BENCHMARK CONNECTION_ID FOUND_ROWS GET_LOCK GTID_SUBSET GTID_SUBTRACT ICU_VERSION IS_FREE_LOCK IS_USED_LOCK LAST_INSERT_ID LOAD_FILE MASTER_POS_WAIT NAME_CONST PS_CURRENT_THREAD_ID PS_THREAD_ID RELEASE_ALL_LOCKS RELEASE_LOCK ROLES_GRAPHML SLEEP SOURCE_POS_WAIT STATEMENT_DIGEST STATEMENT_DIGEST_TEXT UUID_SHORT VALIDATE_PASSWORD_STRENGTH WAIT_FOR_EXECUTED_GTID_SET".split()

@@ -262,3 +262,33 @@ def json_more_constructors(spark: SparkSession, d: str) -> DataFrame:
     except json.DuplicateKey:
         refused = True
     return names.select(F.col("value").alias("names"), json.json_serialize(F.lit('{"a": [1,  2]}')).alias("text"), json.json_scalar(F.lit(7)).alias("number"), json.json_scalar(F.lit("x")).alias("word"), F.lit(refused).alias("refused"))
+
+
+@query(
+    "SELECT n_nationkey, k <= 4 AS meets, k > 4 AS apart, k = 1 AS inside, round(greatest(0.0, abs(k - 2) - 2)::DOUBLE, 6) AS gap, k / 2.0 AS halfway, 'POLYGON' AS kind, 2 AS dims, true AS valid, "
+    "'{\"type\": \"Point\", \"coordinates\": [' || k || '.0, 1.5]}' AS geojson, k + 0.0 AS back, true AS same, true AS crossed FROM (SELECT n_nationkey, n_nationkey % 8 AS k FROM nation)"
+)
+def geometry_relations(spark: SparkSession, d: str) -> DataFrame:
+    k = (F.col("n_nationkey") % 8).cast("double")
+    p = lambda x, y: geometry.point(F.lit(x), F.lit(y))
+    big = geometry.make_envelope(p(0, 0), p(4, 4))
+    small = geometry.make_envelope(geometry.point(k, F.lit(1)), geometry.point(k + 1, F.lit(2)))
+    path, at = geometry.line(p(0, 0), geometry.point(k, F.lit(0))), geometry.point(k, F.lit(1.5))
+    told = geometry.as_geojson(at, "POINT")
+    bow = geometry.line(p(0, 0), p(2, 2), p(2, 0), p(0, 2), p(0, 0))
+    return table(spark, d, "nation").select(
+        "n_nationkey", geometry.polygons_meet(big, small).alias("meets"), geometry.polygons_disjoint(big, small).alias("apart"), (geometry.polygon_within(small, big) & (k == 1)).alias("inside"),
+        F.round(geometry.point_line_distance(geometry.point(k, F.lit(2)), geometry.line(p(0, 2), p(4, 2))), 6).alias("gap"), F.when(k > 0, geometry.interpolate(path, F.lit(0.5))["x"]).otherwise(0.0).alias("halfway"),
+        geometry.geometry_type(geometry.as_text(big, "POLYGON")).alias("kind"), geometry.dimension(geometry.as_text(big, "POLYGON")).alias("dims"), geometry.is_valid(small).alias("valid"),
+        told.alias("geojson"), geometry.from_geojson(told)[0]["x"].alias("back"), geometry.same_points(big, F.reverse(big)).alias("same"), (~geometry.is_simple(bow) & ~geometry.is_valid(bow)).alias("crossed"),
+    )
+
+
+@query("SELECT n_nationkey, true AS near, 5.0 AS apart, true AS round_shape FROM nation")
+def geometry_measures(spark: SparkSession, d: str) -> DataFrame:
+    """A geohash and back, the greatest of the least distances, a circle's polygon."""
+    p = geometry.point(F.col("n_nationkey") * 3 - 40, F.col("n_regionkey") * 10 - 20)
+    back = geometry.point_from_geohash(geometry.geohash(p, 9))
+    one, other = geometry.line(geometry.point(F.lit(0), F.lit(0)), geometry.point(F.lit(1), F.lit(0))), geometry.line(geometry.point(F.lit(0), F.lit(5)), geometry.point(F.lit(1), F.lit(5)))
+    circle = geometry.buffer_point(p, F.lit(2.0))
+    return table(spark, d, "nation").select("n_nationkey", (geometry.distance(p, back) < 0.0001).alias("near"), geometry.hausdorff_distance(one, other).alias("apart"), geometry.area(circle).between(12.4, 12.6).alias("round_shape"))
