@@ -68,6 +68,26 @@ def narrowing(df: DataFrame, column: str, to: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull() & ~back.eqNullSafe(F.col(column)))
 
 
+def store_errors(table: Table, df: DataFrame) -> DataFrame:
+    """(column_name, reason, n) of values that a strict store into the declared table would refuse: out of range, too long, no label, null. One pass."""
+    tests = []
+    for c in table.columns:
+        if c.name not in df.columns:
+            continue
+        v, known = F.col(f"`{c.name}`"), F.col(f"`{c.name}`").isNotNull()
+        if not c.nullable:
+            tests.append((c.name, "null", ~known))
+        if c.labels:
+            tests.append((c.name, "no label", known & ~v.isin(*c.labels)))
+        elif c.length:
+            tests.append((c.name, "too long", known & (F.char_length(F.rtrim(v.cast("string"))) > c.length)))
+        elif df.schema[c.name].dataType.simpleString() != c.type:
+            tests.append((c.name, "out of range", known & v.try_cast(c.type).isNull()))
+    counts = df.agg(*[F.count_if(t).alias(f"c{i}") for i, (_, _, t) in enumerate(tests)])
+    told = F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(r).alias("reason"), F.col(f"c{i}").alias("n")) for i, (n, r, _) in enumerate(tests)])
+    return counts.select(F.explode(told).alias("r")).select("r.*").filter("n > 0")
+
+
 def report(table: Table, df: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
     """(constraint_name, kind, violations) for every declared constraint: row-wise ones in a single pass, keys and references one job each."""
     spark = df.sparkSession

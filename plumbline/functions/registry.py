@@ -818,6 +818,8 @@ MYSQL |= {
     **{f"ST_{n}FROM{t}": geometry.from_text for n in ("POINT", "LINE", "LINESTRING", "POLY", "POLYGON", "GEOMETRY") for t in ("TEXT", "TXT")},
 }
 
+MYSQL |= {"JSON_SCHEMA_VALID": json_udf.json_schema_valid}
+
 #: Reserved for sessions and servers, without a meaning for data; named here so that a lookup says so.
 WITHOUT_DATA = frozenset(
     "BENCHMARK CONNECTION_ID FOUND_ROWS GET_LOCK GTID_SUBSET GTID_SUBTRACT ICU_VERSION IS_FREE_LOCK IS_USED_LOCK LAST_INSERT_ID LOAD_FILE MASTER_POS_WAIT NAME_CONST PS_CURRENT_THREAD_ID PS_THREAD_ID RELEASE_ALL_LOCKS RELEASE_LOCK ROLES_GRAPHML SLEEP SOURCE_POS_WAIT STATEMENT_DIGEST STATEMENT_DIGEST_TEXT UUID_SHORT VALIDATE_PASSWORD_STRENGTH WAIT_FOR_EXECUTED_GTID_SET".split()

@@ -15,6 +15,22 @@ def create_function(spark: SparkSession, name: str, arguments: str, returns: str
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
 
 
+def call_procedure(spark: SparkSession, body: str, inout: dict[str, tuple[str, object]]) -> dict[str, object]:
+    """CALL of a procedure with INOUT arguments: body is a SQL script that may set them; their values afterwards.
+
+    inout: name -> (type, value going in). Values are bound as literals of their type.
+    """
+    declared = "".join(f"DECLARE {n} {t} DEFAULT {'NULL' if v is None else _literal(v)};\n" for n, (t, v) in inout.items())
+    row = spark.sql(f"BEGIN\n{declared}{body}\nSELECT {', '.join(inout)};\nEND").first()
+    return row.asDict()
+
+
+def _literal(v: object) -> str:
+    if isinstance(v, bool) or not isinstance(v, str):
+        return str(v)
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strict(f: Callable[..., Column]) -> Callable[..., Column]:
     """A function that is null for any null argument."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +79,71 @@ def alphabet() -> list[tuple[str, str, str]]:
     return out + [("alter", kind, f) for kind, fields in kinds.items() for f in fields]
 
 
+#: PostgreSQL's names of Spark's types.
+_TYPES = {"string": "text", "double": "double precision", "float": "real", "binary": "bytea", "timestamp_ntz": "timestamp", "timestamp": "timestamptz", "variant": "jsonb", "int": "integer", "tinyint": "smallint"}
+
+
+def _column_ddl(c) -> str:
+    kind = f"varchar({c.length})" if c.length else _TYPES.get(c.type, c.type.replace("decimal", "numeric"))
+    made = f" GENERATED ALWAYS AS ({c.generated}) STORED" if c.generated else " GENERATED BY DEFAULT AS IDENTITY" if c.identity else ""
+    return f"{c.name} {kind}" + made + (f" DEFAULT {c.default}" if c.default else "") + ("" if c.nullable else " NOT NULL")
+
+
+def _constraint_ddl(t: Table, kind: str, name: str) -> str:
+    if kind == "key":
+        k = next(k for k in t.keys if k.name == name)
+        if k.where:
+            return f"CREATE UNIQUE INDEX {k.name} ON {t.name} ({', '.join(k.columns)}) WHERE {k.where}"
+        return f"ALTER TABLE {t.name} ADD CONSTRAINT {k.name} {'PRIMARY KEY' if k.primary else 'UNIQUE'} ({', '.join(k.columns)})"
+    if kind == "foreign key":
+        f = next(f for f in t.foreign if f.name == name)
+        action = "" if f.on_delete == "RESTRICT" else f" ON DELETE {f.on_delete}"
+        return f"ALTER TABLE {t.name} ADD CONSTRAINT {f.name} FOREIGN KEY ({', '.join(f.columns)}) REFERENCES {f.table} ({', '.join(f.parent)}){action}"
+    c = next(c for c in t.checks if c.name == name)
+    return f"ALTER TABLE {t.name} ADD CONSTRAINT {c.name} CHECK ({c.predicate})"
+
+
+def ddl(old: Catalog, new: Catalog, intents: Intents | None = None) -> list[str]:
+    """The statements that lead from old to new, in an order that works: renames; references, checks and keys that go; columns and tables that go (children first); alterations; new tables (parents first) and columns; keys, checks, references."""
+    changes = compare(old, new, intents)
+    parts: dict[int, list[str]] = {}
+    place = {n: i for i, n in enumerate(old.load_order())}
+    for c in changes:
+        table, _, name = c.name.partition(".")
+        t = new.tables.get(table)
+        if c.op == "rename":
+            parts.setdefault(0, []).append(f"ALTER TABLE {table} RENAME COLUMN {c.before} TO {c.after}")
+        elif c.op == "drop" and c.kind in ("foreign key", "check", "key"):
+            parts.setdefault({"foreign key": 1, "check": 2, "key": 3}[c.kind], []).append(f"ALTER TABLE {table} DROP CONSTRAINT {name}")
+        elif c.op == "drop" and c.kind == "column":
+            parts.setdefault(4, []).append(f"ALTER TABLE {table} DROP COLUMN {name}")
+        elif c.op == "drop":
+            parts.setdefault(5, []).append(f"{len(place) - place[table]:06d} DROP TABLE {table}")
+        elif c.op == "alter" and c.kind == "column":
+            column = t.column(name)
+            what = {
+                "type": f"TYPE {_column_ddl(replace(column, default=None, nullable=True, identity=False, generated=None)).partition(' ')[2]}", "nullable": f"{'DROP' if column.nullable else 'SET'} NOT NULL",
+                "default": f"SET DEFAULT {column.default}" if column.default else "DROP DEFAULT",
+            }.get(c.field)
+            if what:
+                parts.setdefault(6, []).append(f"ALTER TABLE {table} ALTER COLUMN {name} {what}")
+        elif c.op == "alter":
+            gone = f"ALTER TABLE {table} DROP CONSTRAINT {name}"
+            if gone not in parts.get(1, []):
+                parts.setdefault(1, []).append(gone)
+                parts.setdefault({"key": 9, "check": 10, "foreign key": 11}[c.kind], []).append(_constraint_ddl(t, c.kind, name))
+        elif c.kind == "table":
+            parts.setdefault(7, []).append(f"CREATE TABLE {table} ({', '.join(map(_column_ddl, t.columns))})" if not t.view else f"CREATE VIEW {table} AS {t.view}")
+            for kind, step, items in (("key", 9, t.keys), ("check", 10, t.checks), ("foreign key", 11, t.foreign)):
+                parts.setdefault(step, []).extend(_constraint_ddl(t, kind, x.name) for x in items)
+        elif c.kind == "column":
+            parts.setdefault(8, []).append(f"ALTER TABLE {table} ADD COLUMN {_column_ddl(t.column(name))}")
+        else:
+            parts.setdefault({"key": 9, "check": 10, "foreign key": 11}[c.kind], []).append(_constraint_ddl(t, c.kind, name))
+    parts[5] = [x[7:] for x in sorted(parts.get(5, []))]
+    return [s for k in sorted(parts) for s in parts[k]]
+
+
 def changes_frame(spark: SparkSession, changes: list[Change]) -> DataFrame:
     return spark.createDataFrame([(c.op, c.kind, c.name, c.field, c.before, c.after) for c in changes], "op string, kind string, name string, field string, before string, after string")
 

@@ -266,6 +266,36 @@ def cascade_delete(deleted: DataFrame, key: str, children: list[tuple[DataFrame,
     return out
 
 
+def cascade_walk(tables: catalog.Catalog, frames: dict[str, DataFrame], table: str, gone: DataFrame) -> dict[str, Write]:
+    """What a DELETE of rows of a table does to all tables that refer to it, directly or through others, by the declared actions.
+
+    Rows that RESTRICT (or no action) keeps from going raise WriteConflict. A table reached twice is changed twice; circles
+    of CASCADE end where no more rows go.
+    """
+    out: dict[str, Write] = {}
+    current = dict(frames)
+
+    def walk(name: str, deleted: DataFrame, depth: int) -> None:
+        for child, t in tables.tables.items():
+            for f in t.foreign:
+                if f.table != name or child not in current or depth > len(tables.tables):
+                    continue
+                keys = deleted.select(*[F.col(p).alias(f"_g{i}") for i, p in enumerate(f.parent)]).distinct()
+                on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_g{i}") for i, c in enumerate(f.columns)))
+                if f.on_delete == "CASCADE":
+                    write = delete_using(current[child], keys, on)
+                    current[child], out[child] = write.table, Write(write.table, out[child].returning.unionByName(write.returning) if child in out else write.returning)
+                    walk(child, write.returning.drop("_action"), depth + 1)
+                elif f.on_delete == "SET NULL":
+                    write = update_from(current[child], keys, on, [f"_g{i}" for i in range(len(f.columns))], {c: _null(current[child], c) for c in f.columns}, single=False)
+                    current[child], out[child] = write.table, write
+                elif current[child].join(keys, on, "left_semi").limit(1).count():
+                    raise WriteConflict(f"{f.name}: rows of {child} refer to deleted ones")
+
+    walk(table, gone, 0)
+    return out
+
+
 def cascade_update(changed: DataFrame, old: str, new: str, children: list[tuple[DataFrame, str, str]]) -> list[Write]:
     """ON UPDATE of a key from `old` to `new` (columns of changed) for each child (table, foreign key, action): CASCADE follows, SET NULL clears, RESTRICT raises if a row refers to a changed key."""
     out = []

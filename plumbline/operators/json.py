@@ -200,6 +200,13 @@ def to_record(doc: Column, fields: dict[str, str]) -> Column:
     return F.struct(*[F.try_variant_get(v, f"$['{name}']", kind).alias(name) for name, kind in fields.items()])
 
 
+def to_recordset(df: DataFrame, doc: Column, fields: dict[str, str]) -> DataFrame:
+    """df joined laterally with jsonb_to_recordset(doc) AS t(fields): a row for each element of the array, members cast; what is missing is null."""
+    elements = F.try_variant_get(F.try_parse_json(doc), "$", "array<variant>")
+    out = df.select("*", F.explode(elements).alias("_element"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.try_variant_get("_element", f"$['{n}']", t).alias(n) for n, t in fields.items()])
+
+
 def each_text(df: DataFrame, doc: Column) -> DataFrame:
     """json_each_text: (df.*, key, value)."""
     return df.select("*", F.explode(F.from_json(doc, "map<string,string>")))

@@ -81,6 +81,17 @@ def _not_after(order: Sequence[Column | _Order], names: list[str]) -> Column:
     return out
 
 
+class NotDependent(ValueError):
+    pass
+
+
+def check_dependent(table, keys: Sequence[str], dependent: Sequence[str]) -> None:
+    """Raises NotDependent unless the grouped columns hold a key of the declared table, so that they determine its other columns."""
+    held = any(k.where is None and set(k.columns) <= set(keys) and (k.primary or all(not table.column(c).nullable for c in k.columns)) for k in table.keys)
+    if not held and set(dependent) - set(keys):
+        raise NotDependent(f"{', '.join(sorted(set(dependent) - set(keys)))} must be grouped or aggregated: no key of {table.name} is")
+
+
 def group_by_dependent(df: DataFrame, keys: Sequence[str], dependent: Sequence[str], *aggregates: Column) -> DataFrame:
     """GROUP BY keys with columns that the keys determine (a primary key's own columns): any value of the group is the value."""
     return df.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in dependent], *aggregates)

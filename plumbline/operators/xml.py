@@ -24,6 +24,17 @@ def forest(values: dict[str, Column]) -> Column:
     return F.concat(*[F.when(v.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"<{k}>"), escape(v), F.lit(f"</{k}>"))) for k, v in values.items()])
 
 
+def root(x: Column, version: str = "1.0", standalone: bool | None = None) -> Column:
+    """XMLROOT: the value with a declaration of its own in place of the one it has."""
+    alone = "" if standalone is None else f' standalone="{"yes" if standalone else "no"}"'
+    return F.concat(F.lit(f'<?xml version="{version}"{alone}?>'), F.regexp_replace(x, r"^\s*<\?xml[^>]*\?>", ""))
+
+
+def serialize(x: Column, kind: str = "string") -> Column:
+    """XMLSERIALIZE(CONTENT x AS kind)."""
+    return x.cast(kind)
+
+
 def comment(text: Column) -> Column:
     return F.concat(F.lit("<!--"), text, F.lit("-->"))
 

@@ -292,3 +292,36 @@ def geometry_measures(spark: SparkSession, d: str) -> DataFrame:
     one, other = geometry.line(geometry.point(F.lit(0), F.lit(0)), geometry.point(F.lit(1), F.lit(0))), geometry.line(geometry.point(F.lit(0), F.lit(5)), geometry.point(F.lit(1), F.lit(5)))
     circle = geometry.buffer_point(p, F.lit(2.0))
     return table(spark, d, "nation").select("n_nationkey", (geometry.distance(p, back) < 0.0001).alias("near"), geometry.hausdorff_distance(one, other).alias("apart"), geometry.area(circle).between(12.4, 12.6).alias("round_shape"))
+
+
+@query("SELECT 11 AS total, 'ab' AS label")
+def procedure_inout(spark: SparkSession, d: str) -> DataFrame:
+    """CALL with INOUT arguments: a script sets them."""
+    body = "WHILE total < 10 DO SET total = total + 3; END WHILE; SET label = concat(label, 'b');"
+    got = udf.call_procedure(spark, body, {"total": ("INT", 2), "label": ("STRING", "a")})
+    return spark.createDataFrame([(got["total"], got["label"])], "total int, label string")
+
+
+@query("SELECT n_nationkey, a, b FROM nation, (VALUES (1, 'x'), (2, NULL)) AS t(a, b)")
+def json_to_recordset(spark: SparkSession, d: str) -> DataFrame:
+    return json.to_recordset(table(spark, d, "nation").select("n_nationkey"), F.lit('[{"a": 1, "b": "x"}, {"a": "2"}]'), {"a": "int", "b": "string"})
+
+
+@query("SELECT o_orderkey, year(o_orderdate) AS y FROM orders WHERE o_orderdate >= TIMESTAMP '1994-06-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00'")
+def partitioned_parent(spark: SparkSession, d: str) -> DataFrame:
+    """A parent of one partition a year: those outside the asked range aren't in the plan."""
+    import datetime
+
+    t = table(spark, d, "orders")
+    year = lambda y: datetime.datetime(y, 1, 1)
+    parts = [(year(y), year(y + 1), t.filter((F.col("o_orderdate") >= F.lit(year(y)).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(year(y + 1)).cast("timestamp_ntz")))) for y in range(1990, 2000)]
+    out = sources.partitioned_scan(parts, "o_orderdate", datetime.datetime(1994, 6, 1), year(1996))
+    return out.select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("y"))
+
+
+@query("SELECT * FROM (VALUES (1, true, false), (2, false, true), (3, CAST(NULL AS BOOLEAN), NULL), (4, false, false)) AS t(id, lists, nested)")
+def json_schema_valid(spark: SparkSession, d: str) -> DataFrame:
+    lists = '{"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "string", "pattern": "^.n"}, "b": {"type": "array", "items": {"type": "integer", "minimum": 1}, "maxItems": 2}}}'
+    nested = '{"type": "object", "properties": {"b": {"type": "object", "additionalProperties": {"type": "array"}}, "n": {"enum": [7, 8]}}, "not": {"required": ["zz"]}}'
+    doc = F.col("doc")
+    return _docs(spark).select("id", fn.lookup("JSON_SCHEMA_VALID")(lists, doc).alias("lists"), fn.lookup("JSON_SCHEMA_VALID")(nested, doc).alias("nested"))

@@ -253,3 +253,76 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     texts = ("SELECT o_orderkey FROM {orders}\nWHERE o_nothing = 1", "SELEC 1", "SELECT no_such_function(o_orderkey) FROM {orders}", "SELECT o_orderkey FROM {orders}")
     found = [x for x in (facts.diagnose(spark, q, t) for q in texts) if x]
     return spark.createDataFrame([(x.state, x.condition, x.line, x.column) for x in found], "state string, condition string, line int, col int")
+
+
+_BEFORE = "CREATE TABLE a (id int PRIMARY KEY, name varchar(10), old int); CREATE TABLE b (id int PRIMARY KEY, a_id int REFERENCES a (id)); CREATE TABLE gone (x int)"
+_AFTER = "CREATE TABLE a (id bigint PRIMARY KEY, label varchar(20) NOT NULL, n int DEFAULT 1 CHECK (n > 0)); CREATE TABLE c (id int PRIMARY KEY); CREATE TABLE b (id int PRIMARY KEY, a_id int REFERENCES a (id) ON DELETE CASCADE, c_id int REFERENCES c (id))"
+
+
+@query(_rows("place, statement", *enumerate([
+    "ALTER TABLE a RENAME COLUMN name TO label", "ALTER TABLE b DROP CONSTRAINT b_a_id_fkey", "ALTER TABLE a DROP COLUMN old", "DROP TABLE gone", "ALTER TABLE a ALTER COLUMN id TYPE bigint", "ALTER TABLE a ALTER COLUMN label SET NOT NULL",
+    "CREATE TABLE c (id integer NOT NULL)", "ALTER TABLE a ADD COLUMN n integer DEFAULT 1", "ALTER TABLE b ADD COLUMN c_id integer", "ALTER TABLE c ADD CONSTRAINT c_pkey PRIMARY KEY (id)", "ALTER TABLE a ADD CONSTRAINT a_n_check CHECK (n > 0)",
+    "ALTER TABLE b ADD CONSTRAINT b_a_id_fkey FOREIGN KEY (a_id) REFERENCES a (id) ON DELETE CASCADE", "ALTER TABLE b ADD CONSTRAINT b_c_id_fkey FOREIGN KEY (c_id) REFERENCES c (id)",
+])))
+def ddl_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Statements from one schema to the next, in an order that works."""
+    found = migrate.ddl(parse(_BEFORE), parse(_AFTER), migrate.Intents({"a.name": "label"}))
+    return spark.createDataFrame(list(enumerate(found)), "place int, statement string")
+
+
+@query("SELECT 'nation' AS name, count(*) AS n FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'customer', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1 UNION ALL SELECT 'supplier', count(*) FROM supplier "
+    "UNION ALL SELECT 'homeless', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'orders', count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1")
+def cascade_walk(spark: SparkSession, d: str) -> DataFrame:
+    """A region goes: its nations, their customers and these customers' orders with it; suppliers stay without a nation."""
+    from plumbline.operators import dml
+
+    def acting(t, action):
+        return replace(t, foreign=tuple(replace(f, on_delete=action) for f in t.foreign))
+
+    actions = {"nation": "CASCADE", "customer": "CASCADE", "orders": "CASCADE", "supplier": "SET NULL"}
+    tables = Catalog({n: acting(TPCH[n], a) for n, a in actions.items()} | {"region": TPCH["region"]})
+    frames = {n: table(spark, d, n) for n in ("nation", "customer", "orders", "supplier")}
+    after = dml.cascade_walk(tables, frames, "region", table(spark, d, "region").filter("r_regionkey = 1"))
+    counts = [after[n].table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in frames]
+    counts.append(after["supplier"].table.filter("s_nationkey IS NULL").agg(F.count(F.lit(1)).alias("n")).select(F.lit("homeless").alias("name"), "n"))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("SELECT 'c_mktsegment' AS column_name, 'no label' AS reason, count(*) AS n FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION ALL SELECT 'c_name', 'too long', count(*) FROM customer WHERE length(c_name) > 12 HAVING count(*) > 0 UNION ALL SELECT 'c_custkey', 'out of range', count(*) FROM customer WHERE c_custkey > 127")
+def audit_store_errors(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline import audit
+
+    declared = parse("CREATE TYPE seg AS ENUM ('BUILDING', 'MACHINERY'); CREATE TABLE t (c_custkey tinyint, c_name varchar(12), c_mktsegment seg)")["t"]
+    return audit.store_errors(declared, table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+
+
+@query(_rows("statement, kind", ("plain", "immutable"), ("clock", "stable"), ("draw", "volatile")))
+def volatility(spark: SparkSession, d: str) -> DataFrame:
+    texts = {"plain": "SELECT upper('a') AS x", "clock": "SELECT current_timestamp() AS x", "draw": "SELECT rand() + 1 AS x"}
+    return spark.createDataFrame([(k, facts.volatility(spark.sql(q))) for k, q in texts.items()], "statement string, kind string")
+
+
+@query(_listed(by_the_key=False, by_another_column=True))
+def group_by_legality(spark: SparkSession, d: str) -> DataFrame:
+    """Columns beside GROUP BY that a declared key determines, and ones that none does."""
+    from plumbline.operators import rows
+
+    def refused(keys):
+        try:
+            rows.check_dependent(TPCH["customer"], keys, ["c_name"])
+        except rows.NotDependent:
+            return True
+        return False
+
+    return _truths(spark, {"by the key": refused(["c_custkey", "c_nationkey"]), "by another column": refused(["c_nationkey"])})
+
+
+@query(_rows("table_name, constraint_type, columns", ("nation", "PRIMARY KEY", "n_nationkey"), ("nation", "FOREIGN KEY", "n_regionkey")))
+def catalog_constraints(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.sources import tables as sources
+
+    kept = sources.tables_table(spark, TPCH).filter("table_type = 'BASE TABLE'")
+    return sources.constraints_table(spark, TPCH).join(kept, "table_name").filter("table_name = 'nation'").select("table_name", "constraint_type", "columns")

@@ -74,6 +74,30 @@ def parent_scan(children: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), children)
 
 
+def partitioned_scan(parts: list[tuple[object, object, DataFrame]], column: str, low: object = None, high: object = None) -> DataFrame:
+    """A range-partitioned parent kept to low <= column < high: partitions (from, to, rows), None for an open end, whose bounds lie outside aren't read at all."""
+    kept = [df for a, b, df in parts if (high is None or a is None or a < high) and (low is None or b is None or b > low)]
+    rows = parent_scan(kept) if kept else parts[0][2].limit(0)
+    if low is not None:
+        rows = rows.filter(F.col(column) >= F.lit(low))
+    return rows.filter(F.col(column) < F.lit(high)) if high is not None else rows
+
+
+def tables_table(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    """information_schema.tables of a declared catalogue."""
+    return spark.createDataFrame([(t.name, "VIEW" if t.view else "BASE TABLE") for t in catalog.tables.values()], "table_name string, table_type string")
+
+
+def constraints_table(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    """information_schema.table_constraints, with the columns of keys and references."""
+    rows = []
+    for t in catalog.tables.values():
+        rows += [(t.name, k.name, "PRIMARY KEY" if k.primary else "UNIQUE", ",".join(k.columns), None) for k in t.keys]
+        rows += [(t.name, f.name, "FOREIGN KEY", ",".join(f.columns), f.table) for f in t.foreign]
+        rows += [(t.name, c.name, "CHECK", None, None) for c in t.checks]
+    return spark.createDataFrame(rows, "table_name string, constraint_name string, constraint_type string, columns string, refers_to string")
+
+
 def columns_table(spark: SparkSession, catalog: Catalog) -> DataFrame:
     """information_schema.columns of a declared catalogue."""
     rows = [(t.name, c.name, i, c.type, c.nullable, c.default) for t in catalog.tables.values() for i, c in enumerate(t.columns, 1)]
