@@ -48,6 +48,8 @@ _CHUNK = 1 << 19
 _NOT_SPACE = ~K.SPACES
 _SLOTS = 1 << 20
 _PARTS = 64
+#: Tasks at most that count tokens: each sends up to 4 MB of counters.
+COUNTERS = 2048
 
 
 def least_matches(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -120,7 +122,7 @@ def signature(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np
 
 
 def signatures(docs: DataFrame, k: int, coordinates: int = COORDINATES) -> DataFrame:
-    """(uid, n, words, f1, f2, sig) of (uid, text): size of the set, words of the text, 128-bit fingerprint and signature of the set."""
+    """(uid, n, words, mark, sig) of (uid, text): size of the set, words of the text, 128-bit fingerprint and signature of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _constants(coordinates)
@@ -129,14 +131,14 @@ def signatures(docs: DataFrame, k: int, coordinates: int = COORDINATES) -> DataF
                 part = batch.slice(at, 1000)
                 texts = part.column(1).to_pylist()
                 sets, words = shingle_sets(texts, k), [K.count_words((x or "").encode()) for x in texts]
-                prints = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+                marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 sigs = [signature(s, factors, shifts).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(words, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(sigs, pa.binary())],
-                    names=["uid", "n", "words", "f1", "f2", "sig"],
+                    [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(words, pa.int64()), pa.array(marks, pa.binary()), pa.array(sigs, pa.binary())],
+                    names=["uid", "n", "words", "mark", "sig"],
                 )
 
-    return docs.select("uid", "text").mapInArrow(tidied(run), "uid long, n long, words long, f1 long, f2 long, sig binary")
+    return docs.select("uid", "text").mapInArrow(tidied(run), "uid long, n long, words long, mark binary, sig binary")
 
 
 def _tokens(sigs: list[bytes], coordinates: int) -> np.ndarray:
@@ -169,7 +171,7 @@ def token_counts(reps: DataFrame, coordinates: int) -> np.ndarray:
         for part, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["part", "counts"])
 
-    partial = reps.select("sig").mapInArrow(tidied(count), "part int, counts binary")
+    partial = reps.select("sig").coalesce(COUNTERS).mapInArrow(tidied(count), "part int, counts binary")
     rows = partial.repartitionById(_PARTS, F.col("part")).mapInArrow(tidied(add), "part int, counts binary").toArrow()
     out = np.zeros((_PARTS, _SLOTS // _PARTS), np.uint32)
     for part, blob in zip(rows["part"].to_pylist(), rows["counts"].to_pylist(), strict=True):
@@ -345,16 +347,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     """(uid, n, words, root) for every different document of docs (uid, text): shingles, words, and the smallest uid of its component."""
     needed = least_matches(percent, coordinates)
     prefix = coordinates - needed + 1
-    sigs = written(signatures(docs, k, coordinates), "signatures")
+    sigs = written(signatures(docs, k, coordinates), "signatures", "snappy")  # hashes: nothing to compress
     full = sigs.filter("n > 0")
-    classes = full.groupBy("f1", "f2").agg(F.min("uid").alias("rep"))
-    members = written(full.select("uid", "f1", "f2").join(classes, ["f1", "f2"]).select("uid", "rep"), "classes")
-    reps = written(full.join(members.filter("uid = rep").select("uid"), "uid").select("uid", "sig"), "representatives")
-    posted = written(postings(reps, token_counts(reps, coordinates), prefix, coordinates), "postings")
+    classes = full.groupBy("mark").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n"))
+    members = written(join_keys(full.select("uid", "mark"), classes, "mark", full.count()).select("uid", "rep"), "classes", "snappy")
+    reps = written(full.join(members.filter("uid = rep").select("uid"), "uid").select("uid", "sig"), "representatives", "snappy")
+    posted = written(postings(reps, token_counts(reps, coordinates), prefix, coordinates), "postings", "snappy")
     total = reps.count() * prefix
     centre = F.max_by("uid", F.struct("score", "uid")).alias("centre")
     several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), centre).filter("n > 1")
-    lists = written(join_keys(posted.select("token", "uid"), several, "token", total), "lists")
+    lists = written(join_keys(posted.select("token", "uid"), several, "token", total), "lists", "snappy")
     discard(posted)
     comp = lists.select("uid").distinct().select("uid", F.col("uid").alias("root"))
 
