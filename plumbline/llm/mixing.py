@@ -75,7 +75,7 @@ def _hinted(goals: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, copies long, taken long) for every row of docs (doc_id, text, source)."""
-    sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), _chance(seed).alias("_chance"))
+    sized = written(docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), _chance(seed).alias("_chance")), "sizes", "snappy")  # so that texts are read once
     return _taken(sized, weights, factor, most).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
