@@ -761,3 +761,21 @@ def test_clashing_columns(spark, clashing):
     }.items():
         assert collections.Counter(map(tuple, run(clashing).collect())) == collections.Counter(map(tuple, run(plain).collect())), name
     assert packing.pack_documents(clashing).count() == packing.pack_apart(clashing).count() == clashing.count()
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_join_of_hot_keys(spark, monkeypatch, kind):
+    """Hot keys by a broadcast, the others by a shuffle: as a plain join, null keys and keys of one side left out."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import _common
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3, 4, 5, None]), i) for i in range(400)], "k long, i int").withColumn("k", F.col("k").cast("string").cast(kind) if kind == "binary" else F.col("k"))
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top")).filter("n <> 0 AND k IS NOT NULL")
+    some = keyed.filter(F.col("top") % 2 == 0)
+    for given in (keyed, some):
+        want = sorted(map(str, rows.join(given, "k").select("k", "i", "n", "top").collect()))
+        for hot in (1, 60, 10**6):
+            monkeypatch.setattr(_common, "HOT_ROWS", hot)
+            assert sorted(map(str, _common.join_keys(rows, given, "k", 400).select("k", "i", "n", "top").collect())) == want
