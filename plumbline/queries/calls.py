@@ -210,7 +210,7 @@ def ext_unaccent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", fn.unaccent(F.concat(F.lit("Crème "), "n_name", F.lit(" Århus"))).alias("plain"))
 
 
-@query("SELECT n_nationkey, round(sqrt(power(n_nationkey - 3.0, 2) + power(n_regionkey - 4.0, 2)), 6) AS euclid, abs(n_nationkey - 3.0) + abs(n_regionkey - 4.0) AS taxi, greatest(abs(n_nationkey - 3.0), abs(n_regionkey - 4.0)) AS most, n_nationkey <= 5 AS meets, n_nationkey BETWEEN 0 AND 4 AS holds FROM nation")
+@query("SELECT n_nationkey, round(sqrt(power(n_nationkey - 3.0, 2) + power(n_regionkey - 4.0, 2)), 6) AS euclid, (abs(n_nationkey - 3.0) + abs(n_regionkey - 4.0))::DOUBLE AS taxi, greatest(abs(n_nationkey - 3.0), abs(n_regionkey - 4.0))::DOUBLE AS most, n_nationkey <= 5 AS meets, n_nationkey BETWEEN 0 AND 4 AS holds FROM nation")
 def ext_cube(spark: SparkSession, d: str) -> DataFrame:
     point = F.array(F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double"))
     centre = F.array(F.lit(3.0), F.lit(4.0))
@@ -265,8 +265,8 @@ def json_more_constructors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT n_nationkey, k <= 4 AS meets, k > 4 AS apart, k = 1 AS inside, round(greatest(0.0, abs(k - 2) - 2)::DOUBLE, 6) AS gap, k / 2.0 AS halfway, 'POLYGON' AS kind, 2 AS dims, true AS valid, "
-    "'{\"type\": \"Point\", \"coordinates\": [' || k || '.0, 1.5]}' AS geojson, k + 0.0 AS back, true AS same, true AS crossed FROM (SELECT n_nationkey, n_nationkey % 8 AS k FROM nation)"
+    "SELECT n_nationkey, k <= 4 AS meets, k > 4 AS apart, k = 1 AS inside, round(greatest(0.0, abs(k - 2) - 2)::DOUBLE, 6) AS gap, (k / 2.0)::DOUBLE AS halfway, 'POLYGON' AS kind, 2 AS dims, true AS valid, "
+    "'{\"type\": \"Point\", \"coordinates\": [' || k || '.0, 1.5]}' AS geojson, k::DOUBLE AS back, true AS same, true AS crossed FROM (SELECT n_nationkey, n_nationkey % 8 AS k FROM nation)"
 )
 def geometry_relations(spark: SparkSession, d: str) -> DataFrame:
     k = (F.col("n_nationkey") % 8).cast("double")
@@ -284,7 +284,7 @@ def geometry_relations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT n_nationkey, true AS near, 5.0 AS apart, true AS round_shape FROM nation")
+@query("SELECT n_nationkey, true AS near, 5.0::DOUBLE AS apart, true AS round_shape FROM nation")
 def geometry_measures(spark: SparkSession, d: str) -> DataFrame:
     """A geohash and back, the greatest of the least distances, a circle's polygon."""
     p = geometry.point(F.col("n_nationkey") * 3 - 40, F.col("n_regionkey") * 10 - 20)
