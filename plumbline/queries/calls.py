@@ -111,7 +111,7 @@ def json_to_record(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", json.to_record(F.col("props"), {"k": "int", "other": "string"}).alias("r")).select("event_id", "r.*")
 
 
-@query("SELECT * FROM (VALUES (1, 10, 1, 5, NULL, NULL, NULL), (1, 10, 2, 6, NULL, NULL, 'u'), (1, 10, NULL, NULL, 'm', NULL, NULL), (2, -2, NULL, NULL, NULL, NULL, NULL)) AS t(ord, a, n, x, tag, nothing, deep)")
+@query("SELECT * FROM (VALUES (1, 10, 1, 5, NULL, CAST(NULL AS INTEGER), NULL), (1, 10, 2, 6, NULL, NULL, 'u'), (1, 10, NULL, NULL, 'm', NULL, NULL), (2, -2, NULL, NULL, NULL, NULL, NULL)) AS t(ord, a, n, x, tag, nothing, deep)")
 def json_table_nested(spark: SparkSession, d: str) -> DataFrame:
     """Sibling and deeper NESTED PATHs, ON ERROR for a column."""
     doc = F.lit('{"items": [{"a": 10, "b": [{"x": 5}, {"x": 6, "c": ["u"]}], "t": ["m"]}, {"a": "ten"}]}')
