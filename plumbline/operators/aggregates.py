@@ -61,6 +61,18 @@ def percentiles(v: Column, fractions: list[float]) -> Column:
     return F.array(*[F.percentile(v, f) for f in fractions])
 
 
+def sum_in_order(df: DataFrame, keys: list[str], order: list[Column], v: Column, name: str) -> DataFrame:
+    """sum(v) of each key, its values added one by one in `order`, as a column `name` beside the keys.
+
+    A grouped sum of doubles adds up partial sums that depend on splits and on which task ends first, so that keys with the same values
+    may differ in their last bits. One sorted pass a key; nothing is collected.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = df.select(*keys, F.sum(v).over(whole).alias(name), F.row_number().over(w).alias("_at"))
+    return summed.filter(F.col("_at") == 1).drop("_at")
+
+
 def range_union(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
     """range_agg: the ranges [low, high) of each key as disjoint ranges, by gaps and islands. One sorted pass a key."""
     w = Window.partitionBy(*keys).orderBy(low, high)

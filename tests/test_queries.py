@@ -57,6 +57,23 @@ def test_distinct_on_combines_before_the_exchange(spark, sf):
     assert "partial_min_by" in plan and "Window" not in plan
 
 
+def test_equal_sums_share_a_rank_however_rows_are_split(spark, tmp_path):
+    """Two customers with the same prices, in files that cut them at different places; others without a price or a key."""
+    folder = tmp_path / "orders.parquet"
+    folder.mkdir()
+    files = [[(1, 0.1), (2, 0.1), (2, 0.2), (3, None)], [(1, 0.2), (1, 0.3), (2, 0.3), (None, 0.6), (None, None)]]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for i, rows in enumerate(files):
+        con.execute("CREATE OR REPLACE TABLE t (o_custkey BIGINT, o_totalprice DOUBLE)")
+        con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+        con.execute(f"COPY t TO '{folder}/{i}.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/*.parquet'")
+    got = {tuple(r) for r in QUERIES["win_over_agg"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(ORACLE_SQL["win_over_agg"]).fetchall())
+    assert got == {(1, 0.6, 1), (2, 0.6, 1), (None, 0.6, 3), (3, None, 4)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
