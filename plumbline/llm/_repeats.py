@@ -18,8 +18,10 @@ from plumbline.llm._workers import tidied
 HEAVY_SHARE = 2.0**-18
 #: Raw bytes of texts that a task turns into one set of sorted, packed runs at a time.
 FLUSH_BYTES = 20 << 20
-#: Bytes of text that the numpy kernels work on at a time; a longer text is cut into overlapping pieces.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that the numpy kernels work on at a time; a longer text is cut into overlapping pieces. A byte takes some 60 bytes of arrays.
+CHUNK_BYTES = 1 << 18
+#: Bytes of blobs that go to the JVM at a time.
+BATCH_BYTES = 2 << 20
 #: Raw bytes of packed runs that one bucket should hold.
 BUCKET_BYTES = 20 << 20
 #: A key of the packed 64-bit minimisers: the upper bits rank, the lower ones say where.
@@ -74,6 +76,13 @@ def unpack(blob: bytes) -> list[np.ndarray | bytes]:
     return out
 
 
+def drained(held: list) -> Iterator:
+    """The items in their order; the list gives up each before the next is asked for."""
+    held.reverse()
+    while held:
+        yield held.pop()
+
+
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of documents, sorted, those that overlap or touch made one."""
     if not len(doc):
@@ -186,6 +195,24 @@ def survey(docs: DataFrame, look: Callable[[Iterator[tuple[int, str]]], Iterator
     return int(total), np.sort(heavy.astype(np.int64).view(np.uint64)), np.array(cuts, np.int64)
 
 
+def blob_rows(rows: Iterator[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(bucket, open, blob) rows for exchange(), BATCH_BYTES at a time."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=["bucket", "open", "blob"])
+
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 #: Ranges that splitters cut the keys into; more buckets than ranges are made by hash within a range.
 RANGES = 1024
 
@@ -202,7 +229,8 @@ def exchange(rows: DataFrame, buckets: int, take: Callable[[list[bytes]], Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for number, is_open, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, is_open, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                blob = blob.as_py()
                 if not is_open:
                     yield from span_rows(*unpack(blob))
                     continue
@@ -211,6 +239,7 @@ def exchange(rows: DataFrame, buckets: int, take: Callable[[list[bytes]], Iterat
                     held = []
                 at = number
                 held.append(blob)
+            del batch
         if held:
             yield from take(held)
 

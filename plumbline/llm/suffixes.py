@@ -100,11 +100,11 @@ def _pieces(texts: Iterator[tuple[int, str | None]]) -> Iterator[tuple[tuple[int
 
 
 class _Flush:
-    """The runs of some texts: columns of equal length, offsets into `data`."""
+    """The runs of some texts: columns of equal length, offsets into `data`. Empties `pieces`."""
 
     def __init__(self, pieces: list[tuple[tuple[int, int], bytes]], table: np.ndarray | None) -> None:
-        columns, inner, buffers, base = [], [], [], 0
-        for keys, parts in K.grouped(pieces, R.CHUNK_BYTES):
+        columns, inner, buffers, base = [[] for _ in range(7)], [], [], 0
+        for keys, parts in K.grouped(R.drained(pieces), R.CHUNK_BYTES):
             buf, data, starts = K.joined(parts, b"")
             prefix = K.prefix_hash(buf)
             grams = prefix[DEPTH:] - prefix[:-DEPTH]
@@ -122,17 +122,22 @@ class _Flush:
             heads, times = stretches(first, count, hashes, data, first, first + count + LENGTH - 1)
             more = heads[times > 1]
             inner.append(R.merged(uid[place[more]], pos[more] + count[more], pos[more] + (times * count[heads])[times > 1] + LENGTH - 1))
-            columns.append((hashes[heads], grams[anchor[heads]], uid[place[heads]], pos[heads], count[heads], first[heads] + base, anchor[heads] + base))
+            own = (hashes[heads], grams[anchor[heads]], uid[place[heads]], pos[heads], count[heads], first[heads] + base, anchor[heads] + base)
+            for column, x in zip(columns, own, strict=True):
+                column.append(x)
             buffers.append(data)
             base += len(data)
         self.data = b"".join(buffers)
+        buffers.clear()
         empty = np.zeros(0, np.int64)
         #: spans of the runs that repeat the run before
         self.inner = tuple(np.concatenate(x) for x in zip(*inner, strict=True)) if inner else (empty, empty, empty)
-        self.hash, self.gram, self.uid, self.pos, self.count, self.at, self.anchor = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (empty.view(np.uint64), empty.view(np.uint64), *[empty] * 5)
+        whole = (np.concatenate(c) if c else empty for c in R.drained(columns))  # each column's parts go before the next is made
+        self.hash, self.gram, self.uid, self.pos, self.count, self.at, self.anchor = whole
+        self.hash, self.gram = self.hash.view(np.uint64), self.gram.view(np.uint64)
 
-    def keep(self, rows: np.ndarray) -> None:
-        for name in ("hash", "gram", "uid", "pos", "count", "at", "anchor"):
+    def keep(self, rows: np.ndarray, names: tuple[str, ...] = ("hash", "gram", "uid", "pos", "count", "at", "anchor")) -> None:
+        for name in names:
             setattr(self, name, getattr(self, name)[rows])
 
     def bytes_of(self, rows: np.ndarray) -> list[bytes]:
@@ -179,7 +184,7 @@ def _flushes(texts: Iterator[tuple[int, str | None]], table: np.ndarray | None)
         size += len(piece[1])
         if size >= R.FLUSH_BYTES:
             yield _Flush(held, table)
-            held, size = [], 0
+            size = 0
     if held:
         yield _Flush(held, table)
 
@@ -194,6 +199,7 @@ def _look(texts: Iterator[tuple[int, str | None]]) -> Iterator[tuple[str, np.nda
             yield "all", np.zeros(1, np.uint64), np.array([n])
             heads = np.sort(_words(flush.key_bytes())[0] ^ _SIGN)[:: max(1, n // 512)]
             yield "key", heads, np.ones(len(heads), np.int64)
+        del flush
 
 
 def encode_run(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -321,7 +327,7 @@ def _repeats(group: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, in
 
 def _merge_bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     runs, sides = [], []
-    for blob in blobs:
+    for blob in R.drained(blobs):
         shared, tails, uid, pos, count, left, context = R.unpack(blob)
         keys = decode_run(shared, tails)
         runs.append((shared.tolist(), [x.tolist() for x in _words(keys)]))
@@ -352,6 +358,36 @@ def _merge_bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield from R.span_rows(*np.array(spans, np.int64).T)
 
 
+def _split(texts: Iterator[tuple[int, str | None]], heavy: np.ndarray, splitters: np.ndarray, ranges: int, within: int) -> Iterator[tuple[int, bool, bytes]]:
+    """(bucket, open, blob): what is decided at once, and the packed runs of each bucket."""
+    number = 0  # no enumerate(): it would hold each flush while the next is made
+    for flush in _flushes(texts, _heavy_table(heavy)):
+        spans = flush.decide()
+        if len(spans[0]):
+            yield number % (ranges * within), False, R.pack(*spans)
+        number += 1
+        flush.hash = flush.gram = flush.at[:0]  # not needed from here on
+        keys = flush.key_bytes()
+        words = _words(keys)
+        bucket = np.searchsorted(splitters, (words[0] ^ _SIGN).view(np.int64), "right") * within
+        if within > 1:
+            bucket += (K.mix64(words[0] ^ K.mix64(words[1] ^ K.mix64(words[2]))) % np.uint64(within)).astype(np.int64)
+        order = np.lexsort((flush.pos, flush.uid, words[2], words[1], words[0], bucket))
+        del words
+        flush.keep(order, ("uid", "pos", "count", "at", "anchor"))
+        keys, bucket = keys[order], bucket[order]
+        del order
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=False):  # no edges, no buckets
+            at, anchor, end = flush.at[a:b], flush.anchor[a:b], flush.at[a:b] + flush.count[a:b] + LENGTH - 1
+            data = flush.data
+            context = b"".join([data[i:j] + data[j + DEPTH : k] for i, j, k in zip(at.tolist(), anchor.tolist(), end.tolist(), strict=True)])
+            lengths, tails = encode_run(keys[a:b])
+            yield int(bucket[a]), True, R.pack(lengths, tails, flush.uid[a:b], flush.pos[a:b], flush.count[a:b], anchor - at, context)
+        del flush, keys, bucket
+        data = context = None
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """R.SPANS of (uid, doc_id, text). A document may have several rows."""
     total, heavy, cuts = R.survey(docs, _look)
@@ -364,26 +400,7 @@ def _found(docs: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, splitters = shared.value
         texts = ((u, x.as_py()) for b in batches for u, x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
-        for number, flush in enumerate(_flushes(texts, _heavy_table(heavy))):
-            spans = flush.decide()
-            rows = [(number % (ranges * within), False, R.pack(*spans))] if len(spans[0]) else []
-            keys = flush.key_bytes()
-            words = _words(keys)
-            bucket = np.searchsorted(splitters, (words[0] ^ _SIGN).view(np.int64), "right") * within
-            if within > 1:
-                bucket += (K.mix64(words[0] ^ K.mix64(words[1] ^ K.mix64(words[2]))) % np.uint64(within)).astype(np.int64)
-            order = np.lexsort((flush.pos, flush.uid, words[2], words[1], words[0], bucket))
-            flush.keep(order)
-            keys, bucket = keys[order], bucket[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=False):  # no edges, no buckets
-                at, anchor, end = flush.at[a:b], flush.anchor[a:b], flush.at[a:b] + flush.count[a:b] + LENGTH - 1
-                data = flush.data
-                context = b"".join([data[i:j] + data[j + DEPTH : k] for i, j, k in zip(at.tolist(), anchor.tolist(), end.tolist(), strict=True)])
-                lengths, tails = encode_run(keys[a:b])
-                rows.append((int(bucket[a]), True, R.pack(lengths, tails, flush.uid[a:b], flush.pos[a:b], flush.count[a:b], anchor - at, context)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "open", "blob"])
+        yield from R.blob_rows(_split(texts, heavy, splitters, ranges, within))
 
     rows = docs.select("uid", "text").mapInArrow(tidied(split), "bucket int, open boolean, blob binary")
     return R.exchange(rows, ranges * within, _merge_bucket)

@@ -145,6 +145,35 @@ def test_memory_of_constant_texts(op, unit):
     assert int(out.stdout) < 800  # MB
 
 
+_GROWTH = """
+import random, resource
+from plumbline.llm import suffixes
+from plumbline.llm._workers import tidied
+
+def texts():
+    rng = random.Random(1)
+    for n in range(27_000):
+        yield n, " ".join(f"{rng.getrandbits(20):x}" for _ in range(350))
+
+def run(texts):
+    for flush in suffixes._flushes(texts, None):
+        flush.decide()
+        yield len(flush.hash)
+        del flush
+
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+before = peak()
+assert sum(tidied(run)(texts())) > 1_000_000
+print(peak() - before)
+"""
+
+
+def test_memory_of_ordinary_texts():
+    """Two flushes and a bit: pieces, parts of columns and the flush before are given up as the next is made."""
+    out = subprocess.run([sys.executable, "-c", _GROWTH], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))})
+    assert int(out.stdout) < 135  # MB
+
+
 def test_copies_of_whole_texts_are_one_row_each(spark):
     """Whatever the number of strings in a text and of buckets, a copy costs one row of spans."""
     rng = random.Random(2)
